@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terseflow.llm import langid, mixing, sentencepiece_trie
+from terseflow.llm import langid, line_edit_join, mixing, order_minhash, sentencepiece_trie
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_trie.encode_documents(table(spark, sf_dir, "documents"))
 
@@ -26,9 +30,13 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_edit_join.dedup_lines(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_sentencepiece, op8_language_id, op9_source_mixing)}
+    return {f.__name__: f for f in (op1_order_minhash, op5_sentencepiece, op8_language_id, op9_source_mixing, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_source_mixing": mixing.ORACLE_SQL}
+    return {"op9_source_mixing": mixing.ORACLE_SQL, "op10_line_dedup": line_edit_join.ORACLE_SQL}
