@@ -312,13 +312,20 @@ def dedup_lines(docs: DataFrame, edits: int = EDITS, min_bytes: int = MIN_BYTES,
     return out.where((F.col("n_removed") == 0) | (F.col("text") != "")) if drop_emptied else out
 
 
+PARTS = EDITS + 1
+#: Lines within EDITS byte edits are within as many character edits, so they share a segment by characters; that keeps the SQL from comparing all pairs.
 ORACLE_SQL = f"""
 WITH l AS (SELECT doc_id, u.i - 1 AS place, u.line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL) d,
   LATERAL (SELECT unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS i) u),
 w AS (SELECT *, regexp_matches(line, '[^\\t\\n\\x0B\\f\\r ]') AS filled FROM l),
 f AS (SELECT line, min((doc_id, place)) AS first, strlen(line) AS n FROM w WHERE filled GROUP BY line),
-p AS (SELECT b.line FROM f a JOIN f b ON b.n - a.n BETWEEN -{EDITS} AND {EDITS} AND a.first < b.first
-  WHERE a.n >= {MIN_BYTES} AND b.n >= {MIN_BYTES} AND levenshtein(a.line, b.line) <= {EDITS} GROUP BY b.line),
+g AS (SELECT line, first, length(line) AS c FROM f WHERE n >= {MIN_BYTES}),
+i AS (SELECT line, first, c, i, hash(substr(line, i * (c // {PARTS}) + greatest(0, i - {PARTS} + c % {PARTS}) + 1, c // {PARTS} + (i >= {PARTS} - c % {PARTS})::INT)) AS s
+  FROM g, range({PARTS}) AS x(i)),
+q AS (SELECT line, first, c + d AS c, i, i * ((c + d) // {PARTS}) + greatest(0, i - {PARTS} + (c + d) % {PARTS}) + m AS at,
+  (c + d) // {PARTS} + (i >= {PARTS} - (c + d) % {PARTS})::INT AS z FROM g, range({PARTS}) AS x(i), range(-{EDITS}, {PARTS}) AS y(d), range(-{EDITS}, {PARTS}) AS v(m)),
+j AS (SELECT DISTINCT i.line AS a, q.line AS b FROM i JOIN q ON i.c = q.c AND i.i = q.i AND i.s = hash(substr(q.line, q.at + 1, q.z)) AND i.first < q.first WHERE q.at >= 0),
+p AS (SELECT b AS line FROM j WHERE strlen(a) - strlen(b) BETWEEN -{EDITS} AND {EDITS} AND levenshtein(a, b) <= {EDITS} GROUP BY b),
 k AS (SELECT w.doc_id, w.place, w.line, w.filled AND ((w.doc_id, w.place) <> f.first OR p.line IS NOT NULL) AS gone
   FROM w LEFT JOIN f ON w.line = f.line LEFT JOIN p ON w.line = p.line),
 t AS (SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT coalesce(gone, false)), '') AS text,
