@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terseflow.llm import langid, line_edit_join, mixing, order_minhash, sentencepiece_trie
+from terseflow.llm import langid, line_edit_join, mixing, order_minhash, sentencepiece_trie, substring_repeats
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_trie.encode_documents(table(spark, sf_dir, "documents"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_repeats.repeats(table(spark, sf_dir, "documents"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return langid.identify(docs, langid.fit(docs))
@@ -35,7 +39,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_order_minhash, op5_sentencepiece, op8_language_id, op9_source_mixing, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_order_minhash, op5_sentencepiece, op7_substring_dedup, op8_language_id, op9_source_mixing, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
