@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terseflow.llm import ivf_pq, langid, line_edit_join, mixing, order_minhash, sentencepiece_trie, substring_repeats
+from terseflow.llm import ivf_pq, langid, line_edit_join, mixing, order_minhash, sentencepiece_trie, site_templates, substring_repeats
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op1_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_site_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_templates.extract(table(spark, sf_dir, "pages"))
+
+
 def op4_ivf_pq(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ivf_pq.neighbours(table(spark, sf_dir, "embeddings"))
 
@@ -43,7 +47,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_order_minhash, op4_ivf_pq, op5_sentencepiece, op7_substring_dedup, op8_language_id, op9_source_mixing, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_order_minhash, op2_site_templates, op4_ivf_pq, op5_sentencepiece, op7_substring_dedup, op8_language_id, op9_source_mixing, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
