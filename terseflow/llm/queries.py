@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terseflow.llm import ivf_pq, langid, line_edit_join, mixing, order_minhash, sentencepiece_trie, site_templates, substring_repeats
+from terseflow.llm import ivf_pq, langid, line_edit_join, mixing, order_minhash, secret_scan, sentencepiece_trie, site_templates, substring_repeats
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_trie.encode_documents(table(spark, sf_dir, "documents"))
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_repeats.repeats(table(spark, sf_dir, "documents"))
 
@@ -47,7 +51,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_order_minhash, op2_site_templates, op4_ivf_pq, op5_sentencepiece, op7_substring_dedup, op8_language_id, op9_source_mixing, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_order_minhash, op2_site_templates, op4_ivf_pq, op5_sentencepiece, op6_secret_scan, op7_substring_dedup, op8_language_id, op9_source_mixing, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
