@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from terseflow.llm import ivf_pq, langid, line_edit_join, mixing, order_minhash, secret_scan, sentencepiece_trie, site_templates, substring_repeats
+from terseflow.llm import ivf_pq, langid, line_edit_join, media_shards, mixing, order_minhash, secret_scan, sentencepiece_trie, site_templates, substring_repeats
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +22,12 @@ def op2_site_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return site_templates.extract(table(spark, sf_dir, "pages"))
 
 
+def op3_media_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The places and metadata of all media; the shard folder's name, which differs from run to run, is cut off."""
+    packed = media_shards.pack(media_shards.rendered(table(spark, sf_dir, "embeddings")), "payload")
+    return media_shards.describe(packed).withColumn("shard", F.substring_index("shard", "/", -1))
+
+
 def op4_ivf_pq(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ivf_pq.neighbours(table(spark, sf_dir, "embeddings"))
 
@@ -51,7 +58,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_order_minhash, op2_site_templates, op4_ivf_pq, op5_sentencepiece, op6_secret_scan, op7_substring_dedup, op8_language_id, op9_source_mixing, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_order_minhash, op2_site_templates, op3_media_shards, op4_ivf_pq, op5_sentencepiece, op6_secret_scan, op7_substring_dedup, op8_language_id, op9_source_mixing, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
