@@ -47,6 +47,14 @@ def materialize(df: DataFrame, label: str, partition_by: str | None = None) -> D
     return spark.read.schema(schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, size: int = 8 << 20) -> None:
+    """Arrow batches of whole texts of at most `size` bytes, unless the session asks for smaller ones: two tasks' batches must fit beside the heap."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    found = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key))
+    if found <= 0 or found > size:
+        spark.conf.set(key, str(size))
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

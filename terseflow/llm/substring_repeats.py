@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from terseflow.llm.common import BLOCK_SCHEMA, NOT_ALNUM, U64, by_part, materialize, mix, pack, part_of, shuffle_parts, text_chunks, unpack, words
+from terseflow.llm.common import BLOCK_SCHEMA, NOT_ALNUM, U64, by_part, materialize, mix, pack, part_of, shuffle_parts, small_batches, text_chunks, unpack, words
 
 MIN_WORDS = 50
 K = 26
@@ -124,7 +124,7 @@ def _first_of(group: np.ndarray) -> np.ndarray:
 
 
 def seeds(blocks: DataFrame, parts: int) -> DataFrame:
-    """(u, v, shift, n): document u has a seed with v, `shift` words further on in v; n words in u."""
+    """(u, v, n, shifts): document u has seeds with v, each `shift` words further on in v; n words in u."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h, after, before, doc, place, n = unpack(batches, _DTYPES)
@@ -158,7 +158,7 @@ def seeds(blocks: DataFrame, parts: int) -> DataFrame:
         for a in range(0, rows.shape[1], 1 << 16):
             yield pa.RecordBatch.from_arrays([pa.array(x[a : a + (1 << 16)]) for x in rows], names=["u", "v", "shift", "n"])
 
-    return by_part(blocks, parts).mapInArrow(run, "u long, v long, shift long, n long").groupBy("u", "v", "shift").agg(F.max("n").alias("n"))
+    return by_part(blocks, parts).mapInArrow(run, "u long, v long, shift long, n long").groupBy("u", "v").agg(F.max("n").alias("n"), F.collect_set("shift").alias("shifts"))
 
 
 def equal_runs(x: np.ndarray, y: np.ndarray, least: int) -> list[tuple[int, int]]:
@@ -171,10 +171,12 @@ def repeats(docs: DataFrame, least: int = MIN_WORDS, k: int = K) -> DataFrame:
     """(doc_id, start, end, other_id, other_start): the maximal repeats of each document in words, with one other place that has it."""
     spark = docs.sparkSession
     parts = shuffle_parts(spark)
+    small_batches(spark)
     texts = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("id"), F.lower("text").alias("text"))
     found = materialize(seeds(anchor_blocks(texts, parts, k, least), parts), "seeds")
     # one strategy at every size: the texts are never broadcast; both joins use one exchange of them
-    asked = found.groupBy("v").agg(F.collect_list(F.struct("u", "shift", "n")).alias("asked"))
+    span = F.struct("u", "shifts", F.array_min("shifts").alias("least"), (F.array_max("shifts") + F.col("n")).alias("most"))
+    asked = found.where("u <> v").groupBy("v").agg(F.collect_list(span).alias("asked"))
     mine = texts.hint("merge").join(asked, texts["id"] == asked["v"]).select("v", "text", "asked")
 
     def word_hashes(text: str) -> np.ndarray:
@@ -182,39 +184,52 @@ def repeats(docs: DataFrame, least: int = MIN_WORDS, k: int = K) -> DataFrame:
         return words(raw, np.array([0, len(raw)]), NOT_ALNUM)[0].astype(np.uint32)
 
     def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        held = 0
+
+        def flush() -> pa.RecordBatch:
+            types = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.binary())
+            made = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["u", "v", "shifts", "at", "cut"])
+            rows.clear()
+            return made
+
         for batch in batches:
-            for v, text, requests in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
-                h = word_hashes(text.as_py())
-                values = requests.values.flatten()
-                us, shifts, ns = (x.to_numpy() for x in values)
-                for a in range(0, len(us), 4096):
-                    at, cut = [], []
-                    for s, n in zip(shifts[a : a + 4096].tolist(), ns[a : a + 4096].tolist()):
-                        begin = max(s, 0)
-                        at.append(begin)
-                        cut.append(h[begin : max(begin, s + n)].tobytes())
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(us[a : a + 4096]), pa.array(np.full(len(at), v, np.int64)), pa.array(shifts[a : a + 4096]), pa.array(at, pa.int64()), pa.array(cut, pa.binary())],
-                        names=["u", "v", "shift", "at", "cut"],
-                    )
-
-    fetched = mine.mapInArrow(slices, "u long, v long, shift long, at long, cut binary")
-    both = texts.hint("merge").join(fetched, texts["id"] == fetched["u"]).select("u", "text", "v", "shift", "at", "cut")
+            for v, text, requests in zip(*(batch.column(i) for i in range(3))):
+                v, h = v.as_py(), word_hashes(text.as_py())
+                for r in requests:
+                    u, shifts, low, high = (r[k].as_py() for k in ("u", "shifts", "least", "most"))
+                    at = max(low, 0)
+                    rows.append((u, v, shifts, at, h[at : max(at, high)].tobytes()))
+                    held += len(rows[-1][4]) + 200
+                    if held > 4 << 20:
+                        yield flush()
+                        held = 0
+        if rows:
+            yield flush()
+
+    fetched = mine.mapInArrow(slices, "u long, v long, shifts array<long>, at long, cut binary")
+    own = found.where("u = v").select("u", "v", "shifts", F.lit(0).cast("long").alias("at"), F.lit(None).cast("binary").alias("cut"))
+    fetched = fetched.unionByName(own)
+    both = texts.hint("merge").join(fetched, texts["id"] == fetched["u"]).select("u", "text", "v", "shifts", "at", "cut")
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, h = None, np.empty(0, np.uint32)
         for batch in batches:
             rows = []
-            for u, text, v, shift, at, cut in zip(*(batch.column(i) for i in range(6))):
-                u, v, shift, at = u.as_py(), v.as_py(), shift.as_py(), at.as_py()
-                text = text.as_py()
+            for u, text, v, shifts, at, cut in zip(*(batch.column(i) for i in range(6))):
+                u, v, at, text, cut = u.as_py(), v.as_py(), at.as_py(), text.as_py(), cut.as_py()
                 if (u, text) != last:
                     last, h = (u, text), word_hashes(text)
-                y = np.frombuffer(cut.as_py(), np.uint32)
-                x = h[at - shift : at - shift + len(y)]
-                for a, b in equal_runs(x, y[: len(x)], least):
-                    rows.append((u, at - shift + a, at - shift + b, v, at + a))
-                    rows.append((v, at + a, at + b, u, at - shift + a))
+                y = h if cut is None else np.frombuffer(cut, np.uint32)
+                for shift in shifts.as_py():
+                    begin = max(0, at - shift)
+                    n = min(len(h) - begin, at + len(y) - begin - shift)
+                    if n < least:
+                        continue
+                    for a, b in equal_runs(h[begin : begin + n], y[begin + shift - at : begin + shift - at + n], least):
+                        a, b = a + begin, b + begin
+                        rows.append((u, a, b, v, a + shift))
+                        rows.append((v, a + shift, b + shift, u, a))
             columns = np.array(rows, np.int64).reshape(-1, 5).T
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], names=["doc_id", "start", "end", "other_id", "other_start"])
 
