@@ -5,17 +5,18 @@ base36 (one case with digits), letters (one case without), base64 or base64url.
 tests in the alphabet of its encoding do not reject that at level RANDOM_LEVEL together (Sidak): chi-squared uniformity, the runs test above
 and below the middle of the alphabet, and lag-one serial correlation.
 
-That alone would let short words pass, in which the tests have no power. So the same chi-squared statistic is also held
-against ordinary text: its distribution for a string of this length whose characters are drawn from the corpus (all
-documents, candidates aside, within the alphabet) is matched by a gamma law through its first two moments. The lower-tail
-probability is the p-value of 'ordinary', and Benjamini-Hochberg at level FDR decides within each class of encoding and
-length (powers of sqrt 2), over the candidates of all documents. p-values are rounded up to hundredths of a decade for this, so the
-step-up needs only counts.
+That alone would let short words pass, in which the tests have no power. So a candidate's character counts are also held
+against ordinary text (all documents, candidates aside, within the alphabet; letters of both cases count for an alphabet
+of one): the likelihood ratio L of uniform to ordinary characters gives 1 / L as a p-value of 'ordinary', which is valid
+at any length (Markov's inequality) and falls with the length. Benjamini-Hochberg at level FDR decides within each class
+of encoding and length (powers of sqrt 2), over the candidates of all documents. p-values are rounded up to hundredths of
+a decade for this, so the step-up needs only counts.
 
 Defined cases: null and empty texts have no candidates; runs of digits alone are numbers, not credentials; hyphens and
 padding are set aside before the tests (so UUIDs are hex); a run next to another letter or digit of any script is part
 of a word; a null doc_id is kept; repeated rows report alike. Texts are read whole; the secret itself is not
-in the result, only its place and hash. An empty table gives no rows.
+in the result, only its place and hash. An empty table gives no rows. Where there is no ordinary text at all, nothing can
+be told from it, so nothing is reported.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ MIN_LENGTH = 16
 RANDOM_LEVEL = 0.001
 FDR = 0.05
 
-_CANDIDATE = re.compile(r"(?<![\w+/-])[A-Za-z0-9+/_-]{%d,}+={0,2}(?!\w)" % MIN_LENGTH)
+_RUN = re.compile(r"(?<![\w+/-])[A-Za-z0-9+/_-]{%d,}" % MIN_LENGTH)
 _DIGITS, _UPPER, _LOWER = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ALPHABETS = {
     "hex": _DIGITS + "abcdef",
@@ -56,6 +57,17 @@ for _name, _letters in ALPHABETS.items():
 _SETS = {k: frozenset(v) for k, v in ALPHABETS.items()}
 
 
+def runs(text: str) -> Iterator[tuple[int, str]]:
+    """(place, candidate with its padding) of all runs that no letter or digit follows."""
+    for m in _RUN.finditer(text):
+        end = m.end()
+        while end < m.end() + 2 and text[end : end + 1] == "=":
+            end += 1
+        after = text[end : end + 1]
+        if not (after.isalnum() or after == "_"):
+            yield m.start(), text[m.start() : end]
+
+
 def encoding_of(token: str) -> tuple[str, str] | None:
     """(encoding, the characters that are tested); None for what holds no credential."""
     body = token.rstrip("=")
@@ -120,8 +132,8 @@ def normal_two_sided(z: float) -> float:
     return math.erfc(abs(z) / math.sqrt(2))
 
 
-def battery(ranks: np.ndarray, letters: int) -> tuple[int, float, float, float]:
-    """(collisions, p of uniformity, p of the runs test, p of the serial correlation) of a string of alphabet ranks."""
+def battery(ranks: np.ndarray, letters: int) -> tuple[list[int], float, float, float]:
+    """(counts of the letters, p of uniformity, p of the runs test, p of the serial correlation) of a string of alphabet ranks."""
     n = len(ranks)
     counts = np.bincount(ranks, minlength=letters)
     collisions = int((counts.astype(np.int64) * (counts - 1)).sum())
@@ -139,18 +151,15 @@ def battery(ranks: np.ndarray, letters: int) -> tuple[int, float, float, float]:
     power = float((x * x).sum())
     r = float((x[1:] * x[:-1]).sum()) / power if power else 1.0
     p_serial = normal_two_sided((r + 1 / n) * math.sqrt(n))
-    return collisions, p_uniform(n, collisions, letters), p_runs, p_serial
+    return counts.tolist(), p_uniform(n, collisions, letters), p_runs, p_serial
 
 
-def p_ordinary(n: int, collisions: int, q: np.ndarray) -> float:
-    """Lower tail of the number of equal pairs (the chi-squared statistic up to scale) in a string drawn from q."""
-    s2, s3 = float((q**2).sum()), float((q**3).sum())
-    mean = n * (n - 1) * s2
-    var = 2 * n * (n - 1) * (s2 - s2 * s2) + 4 * n * (n - 1) * (n - 2) * (s3 - s2 * s2)
-    return gamma_tails(mean * mean / var, (collisions + 1) * mean / var)[0] if var > 0 else 1.0
+def p_ordinary(counts: np.ndarray, q: np.ndarray) -> float:
+    """The likelihood of these counts under q over that under uniform letters, at most 1."""
+    return math.exp(min(0.0, max(-690.0, float((counts * np.log(q * len(q))).sum()))))
 
 
-_FOUND = "doc_id long, start long, length long, n long, encoding string, collisions long, p_uniform double, p_runs double, p_serial double, secret_hash string, symbols array<long>"
+_FOUND = "doc_id long, start long, length long, n long, encoding string, counts array<long>, p_uniform double, p_runs double, p_serial double, secret_hash string, symbols array<long>"
 
 
 def candidates(docs: DataFrame) -> DataFrame:
@@ -158,7 +167,7 @@ def candidates(docs: DataFrame) -> DataFrame:
     import hashlib
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("n", pa.int64()), ("encoding", pa.string()), ("collisions", pa.int64()), ("p_uniform", pa.float64()), ("p_runs", pa.float64()), ("p_serial", pa.float64()), ("secret_hash", pa.string()), ("symbols", pa.list_(pa.int64()))])
+        schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("n", pa.int64()), ("encoding", pa.string()), ("counts", pa.list_(pa.int64())), ("p_uniform", pa.float64()), ("p_runs", pa.float64()), ("p_serial", pa.float64()), ("secret_hash", pa.string()), ("symbols", pa.list_(pa.int64()))])
         symbols = np.zeros(128, np.int64)
         for batch in batches:
             rows = []
@@ -167,8 +176,7 @@ def candidates(docs: DataFrame) -> DataFrame:
                 if not text:
                     continue
                 symbols += np.bincount(np.frombuffer(text.encode("utf-8", "replace"), np.uint8), minlength=256)[:128]
-                for m in _CANDIDATE.finditer(text):
-                    token = m[0]
+                for start, token in runs(text):
                     symbols -= np.bincount(np.frombuffer(token.encode(), np.uint8), minlength=128)
                     known = encoding_of(token)
                     if known is None:
@@ -176,7 +184,7 @@ def candidates(docs: DataFrame) -> DataFrame:
                     name, body = known
                     ranks = _RANK[name][np.frombuffer(body.encode(), np.uint8)].astype(np.int64)
                     tests = battery(ranks, len(ALPHABETS[name]))
-                    rows.append((doc_id, m.start(), len(token), len(body), name, *tests, hashlib.sha256(token.encode()).hexdigest()[:32], None))
+                    rows.append((doc_id, start, len(token), len(body), name, *tests, hashlib.sha256(token.encode()).hexdigest()[:32], None))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
         yield pa.RecordBatch.from_arrays([pa.array([None], t) for t in schema.types[:-1]] + [pa.array([symbols.tolist()], schema.types[-1])], schema=schema)
@@ -191,17 +199,19 @@ def scan(docs: DataFrame, fdr: float = FDR, random_level: float = RANDOM_LEVEL)
     symbols = np.zeros(128)
     for r in counts:
         symbols[r["pos"]] = r["n"]
-    q = {name: (symbols[list(letters.encode())] + 1) / (symbols[list(letters.encode())] + 1).sum() for name, letters in ALPHABETS.items()}
+    folded = symbols.copy()
+    for a, b in zip(_UPPER.encode(), _LOWER.encode()):
+        folded[[a, b]] = symbols[a] + symbols[b]  # an alphabet of one case is held against letters of either
+    q = {}
+    for name, letters in ALPHABETS.items():
+        known = (symbols if name.startswith("base64") else folded)[list(letters.encode())] + 1
+        q[name] = known / known.sum()
 
     @F.pandas_udf("double")
-    def ordinary(n, collisions, encoding):  # noqa: ANN001, ANN202
-        known: dict = {}
-        for key in zip(n, collisions, encoding):
-            if key not in known:
-                known[key] = p_ordinary(int(key[0]), int(key[1]), q[key[2]])
-        return type(n)([known[key] for key in zip(n, collisions, encoding)], dtype=float)
-
-    tested = found.where("symbols is null").drop("symbols").withColumn("p_ordinary", ordinary("n", "collisions", "encoding"))
+    def ordinary(counts, encoding):  # noqa: ANN001, ANN202
+        return type(encoding)([p_ordinary(np.asarray(c), q[e]) for c, e in zip(counts, encoding)], dtype=float)
+
+    tested = found.where("symbols is null").drop("symbols").withColumn("p_ordinary", ordinary("counts", "encoding")).drop("counts")
     tested = materialize(tested.withColumn("bin", F.floor(-100 * F.log10(F.greatest("p_ordinary", F.lit(1e-300)))).cast("int")).withColumn("class", F.floor(2 * F.log2("n")).cast("int")), "tested")
     bins = tested.groupBy("encoding", "class", "bin").agg(F.count("*").alias("c"))  # at most 30,001 bins of each class
     whole = Window.partitionBy("encoding", "class")
