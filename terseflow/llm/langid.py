@@ -179,9 +179,8 @@ def fit(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, centroids: int
     return train(list(found["lang"]), counts, found["letters"].to_numpy(), centroids)
 
 
-def identify(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
-    """`keep` columns (doc_id alone by default) with lang_pred, similarity and rejected, one row for each document. No shuffle."""
-    keep = ["doc_id"] if keep is None else keep
+def scored(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
+    """`keep` columns with __tf_lang, __tf_cos and __tf_rej; own names, so that no column of the documents clashes."""
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema]
     shared = docs.sparkSession.sparkContext.broadcast(model)  # languages x centroids rows, whatever the corpus holds
 
@@ -197,11 +196,15 @@ def identify(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Da
             columns = [*batch.columns[:-1], pa.array(names, pa.string()), pa.array(np.concatenate(cosines or [np.empty(0)])), pa.array(np.concatenate(rejects or [np.empty(0, bool)]))]
             yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-1], "__tf_lang", "__tf_cos", "__tf_rej"])
 
-    scored = docs.select(*keep, F.lower("text").alias("__tf_text")).mapInArrow(run, ", ".join([*fields, "__tf_lang string", "__tf_cos double", "__tf_rej boolean"]))
-    return scored.withColumnsRenamed({"__tf_lang": "lang_pred", "__tf_cos": "similarity", "__tf_rej": "rejected"})
+    return docs.select(*keep, F.lower("text").alias("__tf_text")).mapInArrow(run, ", ".join([*fields, "__tf_lang string", "__tf_cos double", "__tf_rej boolean"]))
+
+
+def identify(docs: DataFrame, model: Model) -> DataFrame:
+    """(doc_id, lang_pred, similarity, rejected), one row for each document. No shuffle."""
+    return scored(docs, model, ["doc_id"]).withColumnsRenamed({"__tf_lang": "lang_pred", "__tf_cos": "similarity", "__tf_rej": "rejected"})
 
 
 def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
     """The documents that are not rejected, with all their columns."""
     columns = docs.columns
-    return identify(docs, model, columns).where(~F.col("rejected")).select(*columns)
+    return scored(docs, model, columns).where(~F.col("__tf_rej")).select(*columns)
