@@ -46,5 +46,6 @@ def test_edge_cases(make):
     found = sorted((r.doc_id, r.start, r.length) for r in ss.scan(make(rows)).collect())
     assert found == [(3, 2, 40), (3, 2, 40), (4, 2, 40)]
     assert ss.scan(make([])).count() == 0
-    huge = "".join(random.Random(1).choice("0123456789abcdef") for _ in range(200_000))
+    rng = random.Random(1)
+    huge = "".join(rng.choice("0123456789abcdef") for _ in range(200_000))
     assert ss.scan(make([(1, huge), (2, "and the words of an ordinary text are these " * 40)])).collect()[0].length == 200_000
