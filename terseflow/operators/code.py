@@ -22,6 +22,9 @@ LISTED_NAMES = 3
 _PAIRS = {"(": ")", "[": "]", "{": "}"}
 
 
+_BEFORE_REGEX = re.compile(r"(?<![\w$.])(?:return|typeof|case|in|of|delete|void|throw|else|do|yield|await)\s*\Z")
+
+
 class Doubt(ValueError):
     """The scanner can't follow the source."""
 
@@ -58,7 +61,7 @@ class Source:
                 end = self._template(at)
                 self.skip[at] = end
                 last = c
-            elif c == "/" and not go and (not last or last in "(,=:[!&|?{};+-*%~^") and (m := re.compile(r"/(?![*/])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\[\n])+/[a-z]*").match(text, at)):
+            elif c == "/" and not go and (not last or last in "(,=:[!&|?{};+-*%~^" or _BEFORE_REGEX.search(text, max(0, at - 12), at)) and (m := re.compile(r"/(?![*/])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\[\n])+/[a-z]*").match(text, at)):
                 end = m.end()
                 self.skip[at] = end
                 last = "/"
@@ -124,11 +127,11 @@ class Source:
             at = self.blank(at)
             if at >= len(self.text) or self.text[at] in ";=":
                 if self.text.startswith("=>", at):
-                    before, at = ">", at + 2
+                    before, at = "=>", at + 2
                     continue
                 return -1
             if self.text[at] == "{":
-                if before not in ":|&<,>":
+                if before not in (":", "|", "&", "<", ",", "=>"):
                     return at
                 at, before = self.close[at] + 1, "}"
                 continue
