@@ -51,17 +51,19 @@ def track_runs(events: DataFrame, stale_seconds: int = STALE_SECONDS) -> DataFra
 
 
 def recent_table(path: str, limit: int = RECENT_LIMIT) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch sink that keeps the `limit` runs that started last, one row a run. Each batch writes a new version, so one that runs again writes the same."""
+    """A foreachBatch sink that keeps the `limit` runs that started last, one row a run. Each batch writes a new version from the last, so one that runs again writes the same; versions before the last go."""
 
     def sink(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        before = f"{path}/batch={number - 1}"
-        jvm_path = spark._jvm.org.apache.hadoop.fs.Path(before)
-        if jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path):
+        before, older = f"{path}/batch={number - 1}", f"{path}/batch={number - 2}"
+        before_path, older_path = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (before, older))
+        files = before_path.getFileSystem(spark._jsc.hadoopConfiguration())
+        if files.exists(before_path):
             batch = batch.unionByName(spark.read.schema(TRACKED).parquet(before))
         ended = F.when(F.col("status").isin("started", "stale"), 0).otherwise(1)
         one = batch.withColumn("__tf_n", F.row_number().over(Window.partitionBy("id").orderBy(ended.desc(), F.desc("arrival"), F.when(F.col("status") == "stale", 0).otherwise(1)))).where("__tf_n = 1").drop("__tf_n")
         one.orderBy(F.desc("started_at"), F.desc("id")).limit(limit).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        files.delete(older_path, True)
 
     return sink
 
