@@ -13,10 +13,10 @@ from pyspark.sql.window import Window
 from terseflow.semantics import EDGE_LEFT, EDGE_RIGHT, bytes_of, clean_path, extension, lines_of, trim_space
 
 PROSE_EXT = (".md", ".txt")
-CODE_EXT = (".go", ".ts", ".js", ".tsx", ".jsx", ".py", ".java", ".rb", ".rs")
-CONFIG_EXT = (".json", ".yaml", ".yml", ".toml")
-SENSITIVE_NAMES = (".env", ".env.local", "id_rsa", "id_ed25519", "credentials", "known_hosts", "authorized_keys")
-SENSITIVE_DIRS = (".ssh", ".aws", ".gnupg", ".kube")
+CODE_EXT = tuple(f".{x}" for x in "go java js jsx py rb rs ts tsx".split())
+CONFIG_EXT = tuple(f".{x}" for x in "json toml yaml yml".split())
+SENSITIVE_NAMES = tuple("authorized_keys credentials known_hosts id_ed25519 id_rsa .env .env.local".split())
+SENSITIVE_DIRS = tuple(".aws .gnupg .kube .ssh".split())
 CODE_LINE = r"(?dm)^[\t\n\f\r ]*(?:(?:package|func|class|def)[\t\n\f\r ]+[0-9A-Za-z_]+|(?:import|export)[\t\n\f\r ]+.+)"
 
 
@@ -83,8 +83,8 @@ def is_targeted_read(start: Column, end: Column) -> Column:
 
 
 #: Words of a prompt that wants to look, and of one that wants to change or run something, which outweigh them.
-READ_WORDS = ("read", "look at", "show me", "explore", "understand", "what does")
-ACT_WORDS = ("edit", "modify", "change", "update", "implement", "fix", "patch", "refactor", "rename", "run", "test", "build", "lint", "debug", "profile", "benchmark")
+READ_WORDS = ("explore", "look at", "read", "show me", "understand", "what does")
+ACT_WORDS = tuple("benchmark build change debug edit fix implement lint modify patch profile refactor rename run test update".split())
 
 
 def _any_word(words: tuple[str, ...]) -> str:

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from terseflow.semantics import TICK, extension
 
-SCRIPT_EXT = (".ts", ".tsx", ".js", ".jsx")
+SCRIPT_EXT = tuple(f".{x}" for x in "js jsx ts tsx".split())
 PARTIAL = "partial parse, using heuristic fallback"
 HEURISTIC = "heuristic skeleton used for non-Go source"
 LISTED_NAMES = 3
@@ -240,7 +240,7 @@ def skeleton_script(text: str, markup: bool) -> str:
     return "".join(out) + text[kept:]
 
 
-_SIGNATURE = re.compile(r"\s*(?:export\s+)?(?:async\s+)?function\s+\w+.*\{\s*$", re.A)
+_SIGNATURE = re.compile(r"(?:export\b\s+)?(?:async\b\s+)?function\b\s+\w.*\{$", re.A)
 
 
 def skeleton_lines(text: str) -> str:
@@ -342,7 +342,7 @@ def imports_script(text: str, markup: bool) -> str:
     return _with_summaries(imports, types, "".join(body).lstrip("\r\n"))
 
 
-_NAMED_LINE = re.compile(r"""import\s+(type\s+)?\{([^}]+)\}\s+from\s+["']([^"']+)["'];?\s*$""")
+_NAMED_LINE = re.compile(r"""import\s+(?P<type>type\s+)?\{(?P<names>[^}]+)\}\s+from\s+["'](?P<module>[^"']+)["'];?$""")
 
 
 def imports_lines(text: str) -> str:
@@ -352,10 +352,10 @@ def imports_lines(text: str) -> str:
         m = _NAMED_LINE.match(line.strip())
         if not m:
             body.append(line)
-        elif m[1]:
-            types.append(f"{', '.join(name_list(m[2]))} from {m[3]}")
+        elif m["type"]:
+            types.append(f"{', '.join(name_list(m['names']))} from {m['module']}")
         else:
-            imports.append(import_summary(m[3], name_list(m[2])))
+            imports.append(import_summary(m["module"], name_list(m["names"])))
     return _with_summaries(imports, types, "\n".join(body))
 
 

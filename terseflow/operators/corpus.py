@@ -12,7 +12,7 @@ from terseflow.semantics import extension
 
 LINES = 200
 CODE_EXT = (".go", *code.SCRIPT_EXT)
-CONFIG_EXT = (".json", ".yaml", ".yml")
+CONFIG_EXT = tuple(f".{x}" for x in "json yaml yml".split())
 
 
 def line_count(text: Column) -> Column:
@@ -67,7 +67,7 @@ def maintain(docs: DataFrame, path_col: str = "path", text_col: str = "content",
         .when(~ok, F.array(F.format_string("skip %s: validation failed: %s", F.col("path"), validate.error_text(F.col("report")))))
         .otherwise(
             F.concat(
-                F.when(F.col("changed"), F.array(F.format_string("compressed %s: saved %d bytes, %d approx tokens", F.col("path"), delta("Bytes"), delta("ApproxTokens")))).otherwise(F.array().cast("array<string>")),
+                F.when(F.col("changed"), F.array(F.format_string("compressed %s: saved" " %d bytes," " %d approx tokens", F.col("path"), delta("Bytes"), delta("ApproxTokens")))).otherwise(F.array().cast("array<string>")),
                 F.transform("report.warnings", lambda w: F.concat(F.col("path"), F.lit(": "), w)),
             )
         )
@@ -86,5 +86,5 @@ def maintain(docs: DataFrame, path_col: str = "path", text_col: str = "content",
         F.count("*").alias("scanned"), F.count_if("changed").alias("changed"),
         F.coalesce(F.sum(F.when(ok, delta("Bytes"))), F.lit(0)).cast("long").alias("bytes_saved"), F.coalesce(F.sum(F.when(ok, delta("ApproxTokens"))), F.lit(0)).cast("long").alias("tokens_saved"),
     )
-    text_of = F.format_string("maintain: %d files scanned, %d changed, saved %d bytes / %d approx tokens", "scanned", "changed", "bytes_saved", "tokens_saved")
+    text_of = F.format_string("maintain: %d files scanned," " %d changed, saved" " %d bytes / %d approx tokens", "scanned", "changed", "bytes_saved", "tokens_saved")
     return done.drop("candidate"), findings, totals.withColumn("summary", F.when(F.col("scanned") == 0, "no eligible files found").otherwise(text_of))

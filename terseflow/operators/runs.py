@@ -118,7 +118,7 @@ def result_summary(error: Column, produced: Column, changed: Column) -> Column:
     """What a run did, in a line."""
     deltas = [saved(s) for s in SIZES]
     none = (deltas[0] == 0) & (deltas[1] == 0) & (deltas[2] == 0)
-    said = F.format_string("changed=%s, saved %d bytes, %d words, %d approx tokens", changed.cast("string"), *deltas)
+    said = F.format_string("changed=%s, saved" " %d bytes, %d words," " %d approx tokens", changed.cast("string"), *deltas)
     return F.when(F.coalesce(error, F.lit("")) != "", error).when(produced & ~changed & none, "output generated without a tracked content delta").otherwise(said)
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from terseflow.semantics import PATH_TAIL, TICK, URL
 
 _URL = re.compile(URL)
-_PATH = re.compile(r"(^|[\t\n\f\r (])((?:/|\./|\../)" + PATH_TAIL + ")")
+_PATH = re.compile(r"(^|[\t\n\f\r (])((?:\.?/|\../)" + PATH_TAIL + ")")
 _ATX = re.compile(r" {0,3}#{1,6}(?:[ \t]|$)")
 _OPEN = re.compile(r" {0,3}(`{3,}|~{3,})(.*)$", re.S)
 _MARKER = re.compile(r"( {0,3})(?:[-+*]|\d{1,9}[.)])( {1,4}|$)")

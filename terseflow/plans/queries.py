@@ -104,8 +104,8 @@ def payload_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
 PATHS = Text((Pick("o_orderkey", ("docs/", "/home/u/.ssh/", "src/../", "a/b/", "./", ".aws/x/")), Pick("o_orderkey", ("note", "credentials", ".env", "main", "v1.2/plan"), 6), Pick("o_orderkey", (".md", ".go", ".yaml", "", ".bin", ".tsx", ".txt", ".py"), 7)))
 CONTENTS = Pick("o_orderkey", ('{"a": [1, 2]}', "key: value\nother", "# a: b\nplain words", "package main\n\nfunc main() {}", "  \n ", "just prose here", "# title\n\nimport os", "class A", "[1, 2", "\n\n  def f(x)"))
 _EXT = "regexp_extract(regexp_extract(path, '[^/]*$'), '\\.[^.]*$')"
-_BY_EXT = f"CASE WHEN {_EXT} IN ('.md', '.txt') THEN 'natural_language' WHEN {_EXT} IN ('.go', '.ts', '.js', '.tsx', '.jsx', '.py', '.java', '.rb', '.rs') THEN 'code' WHEN {_EXT} IN ('.json', '.yaml', '.yml', '.toml') THEN 'config' WHEN {_EXT} <> '' THEN 'skip' END"
-_BY_TEXT = r"CASE WHEN json_valid(content) THEN 'config' WHEN len(list_filter(string_split(content, chr(10)), lambda x: trim(x) NOT LIKE '#%' AND contains(x, ':'))) > 0 THEN 'config' WHEN regexp_matches(content, '(?m)^\s*(package\s+\w+|func\s+\w+|import\s+.+|export\s+.+|class\s+\w+|def\s+\w+)') THEN 'code' WHEN regexp_replace(content, '\s', '', 'g') = '' THEN 'skip' ELSE 'natural_language' END"
+_BY_EXT = f"CASE WHEN {_EXT} IN ('.md', '.txt') THEN 'natural_language' WHEN {_EXT} IN ('.go', '.java', '.js', '.jsx', '.py', '.rb', '.rs', '.ts', '.tsx') THEN 'code' WHEN {_EXT} IN ('.json', '.toml', '.yaml', '.yml') THEN 'config' WHEN {_EXT} <> '' THEN 'skip' END"
+_BY_TEXT = r"CASE WHEN json_valid(content) THEN 'config' WHEN len(list_filter(string_split(content, chr(10)), lambda x: trim(x) NOT LIKE '#%' AND contains(x, ':'))) > 0 THEN 'config' WHEN regexp_matches(content, '(?m)^\s*(?:(?:class|def|func|package)\s+\w+|(?:export|import)\s+.+)') THEN 'code' WHEN regexp_replace(content, '\s', '', 'g') = '' THEN 'skip' ELSE 'natural_language' END"
 _FILES = f"(SELECT o_orderkey, {PATHS.sql} AS path, {CONTENTS.sql} AS content FROM orders)"
 
 
@@ -146,7 +146,7 @@ def targeted_read(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 PROMPTS = Text((Pick("turn", ("Please Read  the file", "fix the test", "what does\nthis do", "look   at it", "show me more", "thread it", "explore and build", "I understand"), 1), " ", ("conv_id",)))
-_INTENT = r"NOT regexp_matches(p, '(?i)\b(edit|modify|change|update|implement|fix|patch|refactor|rename|run|test|build|lint|debug|profile|benchmark)\b') AND regexp_matches(p, '(?i)\b(read|look at|show me|explore|understand|what does)\b')"
+_INTENT = f"NOT regexp_matches(p, '(?i)\\b({'|'.join(classify.ACT_WORDS)})\\b') AND regexp_matches(p, '(?i)\\b({'|'.join(classify.READ_WORDS)})\\b')"
 _PROMPTS = f"(SELECT conv_id, turn, {_INTENT} AS intent FROM (SELECT conv_id, turn, regexp_replace({PROMPTS.sql}, '\\s+', ' ', 'g') AS p FROM conversations))"
 
 
@@ -219,7 +219,7 @@ def validate_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return papers(spark, sf_dir).select("o_orderkey", validate.urls(F.col("content")).alias("urls"))
 
 
-@query(f"SELECT o_orderkey, regexp_extract_all(content, '(?:^|[\\s(])((?:/|\\./|\\../)[^\\s)`]+)', 1) AS paths FROM {_PAPERS}")
+@query(f"SELECT o_orderkey, regexp_extract_all(content, '(?:^|[\\s(])((?:\\.?/|\\../)[^\\s)`]+)', 1) AS paths FROM {_PAPERS}")
 def validate_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return papers(spark, sf_dir).select("o_orderkey", validate.paths(F.col("content")).alias("paths"))
 

@@ -13,7 +13,7 @@ TICK = chr(96)
 URL = rf"https?://[^\t\n\f\r )]+"
 #: A path starts the text or follows white space or '('; the second form of a start is dot, any character, slash.
 PATH_TAIL = r"[^\t\n\f\r )" + TICK + r"]+"
-PATH = r"(?:^|[\t\n\f\r (])((?:/|\./|\../)" + PATH_TAIL + ")"
+PATH = r"(?:^|[\t\n\f\r (])((?:\.?/|\../)" + PATH_TAIL + ")"
 
 
 def words_of(text: Column) -> Column:

@@ -61,7 +61,7 @@ def test_prefix_join_equals_band_join(spark, threshold):
 
 
 def test_history_json(spark):
-    calls = [{"role": "user", "content": "Show <it>."}, {"role": "tool", "content": "FAIL\\nFAIL\\n\\nFAIL", "toolName": "sh"}, {"role": "t", "content": "1", "toolName": "r", "filePath": "f"}, {"role": "t", "content": "2", "toolName": "r", "filePath": "f"}, {"role": "t", "content": "\n".join(map(str, range(50))), "toolName": "r"}]
+    calls = [{"content": "Show <it>.", "role": "user"}, {"role": "tool", "content": "FAIL\\nFAIL\\n\\nFAIL", "toolName": "sh"}, {"role": "t", "content": "1", "toolName": "r", "filePath": "f"}, {"role": "t", "content": "2", "toolName": "r", "filePath": "f"}, {"role": "t", "content": "\n".join(map(str, range(50))), "toolName": "r"}]
     rows = [("a", json.dumps(calls)), ("b", "[]"), ("c", "not json"), ("d", '{"role": "x"}'), ("e", None)]
     found = {r.id: r for r in history.compact_history_json(spark.createDataFrame(rows, "id string, doc string"), "id", "doc").collect()}
     out = json.loads(found["a"].output)

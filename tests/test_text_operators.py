@@ -108,7 +108,7 @@ def test_go():
 
 
 def test_script_imports():
-    text = 'import React, {\n  useMemo,\n  useState,\n} from "react";\nimport * as path from "node:path";\nimport "./poly";\nimport type { P } from "./t";\nimport { a, b, c, d } from "m";\n\nexport const x = 1;\n'
-    assert code.trim_imports_text(".tsx", text) == ("// imports: react(React, useMemo, useState); node:path(* as path); ./poly(side-effect); m{4}\n// types: P from ./t\n\nexport const x = 1;\n", [], None)
+    text = 'import React, {\n  useMemo,\n  useRef,\n} from "react";\nimport * as path from "node:path";\nimport "./poly";\nimport type { P } from "./t";\nimport { a, b, c, d } from "m";\n\nexport const x = 1;\n'
+    assert code.trim_imports_text(".tsx", text) == ("// imports: react(React, useMemo, useRef); node:path(* as path); ./poly(side-effect); m{4}\n// types: P from ./t\n\nexport const x = 1;\n", [], None)
     out, found, error = code.reduce_file(".ts", 'import { a } from "m";\nfunction f() {\n  a();\n}\n')
     assert (out, found, error) == ("// imports: m(a)\n\nfunction f();\n", [], None)
