@@ -342,7 +342,7 @@ def imports_script(text: str, markup: bool) -> str:
     return _with_summaries(imports, types, "".join(body).lstrip("\r\n"))
 
 
-_NAMED_LINE = re.compile(r"""import\s+(?P<type>type\s+)?\{(?P<names>[^}]+)\}\s+from\s+["'](?P<module>[^"']+)["'];?$""")
+_NAMED_LINE = re.compile(r"""import\s+(?P<type>type\s+)?\{(?P<names>[^{}]+)\}\s*\bfrom\s+["'](?P<module>[^"']+)["'];?$""")
 
 
 def imports_lines(text: str) -> str:
