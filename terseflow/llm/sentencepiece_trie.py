@@ -23,14 +23,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from terseflow.llm.common import small_batches
+
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 _UNIT = re.compile(f"\n|{MARK}+[^{MARK}\n]*|[^{MARK}\n]+")
 #: Distinct words whose ids a worker keeps between batches; beyond it the table starts anew.
-KEPT_WORDS = 1_500_000
+KEPT_WORDS = 150_000
 #: Rows encoded at once: bounded, so that a batch of long texts stays small in memory.
 TEXTS_AT_ONCE = 2000
-CHARS_AT_ONCE = 8 << 20
+CHARS_AT_ONCE = 1 << 20
 
 
 class PieceTrie:
@@ -107,7 +109,7 @@ class PieceTrie:
             a = self.text_of[left] if left < self.size else chr(left - self.size)
             b = self.text_of[right] if right < self.size else chr(right - self.size)
             known = self.merged(a + b) == [a, b]
-            if len(self.follows) > 4_000_000:
+            if len(self.follows) > 200_000:
                 self.follows.clear()
             self.follows[key] = known
         return known
@@ -217,12 +219,12 @@ def trie(model_file: str) -> PieceTrie:
     return _TRIES[model_file]
 
 
-def _groups(texts: list[str]) -> Iterator[list[str]]:
-    group: list[str] = []
+def _groups(texts: pa.Array) -> Iterator[list[str | None]]:
+    group: list[str | None] = []
     held = 0
     for t in texts:
-        group.append(t)
-        held += len(t)
+        group.append(t.as_py())
+        held += len(group[-1] or "")
         if held >= CHARS_AT_ONCE or len(group) >= TEXTS_AT_ONCE:
             yield group
             group, held = [], 0
@@ -233,11 +235,13 @@ def _groups(texts: list[str]) -> Iterator[list[str]]:
 def encode_documents(docs: DataFrame, model_file: str = DEFAULT_MODEL) -> DataFrame:
     """doc_id, n_tokens, token_ids, and round_trip: whether decoding gives the text again. One row for each document, no shuffle."""
 
+    small_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = trie(model_file)
         for batch in batches:
             at = 0
-            for group in _groups(batch.column(1).to_pylist()):
+            for group in _groups(batch.column(1)):
                 ids, bounds = model.encode([t or "" for t in group])
                 flat, ends = ids.tolist(), bounds.tolist()
                 same = [t is None or model.decode(flat[ends[i] : ends[i + 1]]) == t for i, t in enumerate(group)]
@@ -246,6 +250,7 @@ def encode_documents(docs: DataFrame, model_file: str = DEFAULT_MODEL) -> DataFr
                 count = pa.array(np.diff(bounds), pa.int64())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(group)), count, lists, pa.array(same)], names=["doc_id", "n_tokens", "token_ids", "round_trip"])
                 at += len(group)
+        model.reset()  # the worker lives on for other stages
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, token_ids array<int>, round_trip boolean")
 
