@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 U64 = np.uint64
 GOLD = U64(0x9E3779B97F4A7C15)
 #: Bytes of text that the vectorised scanners handle at once; long documents are never cut, they make a chunk of their own.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:

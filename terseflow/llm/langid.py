@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from terseflow.llm.common import U64, text_chunks
+from terseflow.llm.common import U64, small_batches, text_chunks
 
 DIMENSIONS = 8192
 SAMPLE_PER_LANGUAGE = 800
@@ -73,9 +73,16 @@ class Model:
     floor: np.ndarray  # lowest accepted cosine by length class
 
     def vectors(self, counts: np.ndarray) -> np.ndarray:
-        x = np.where(counts > 0, 1 + np.log(np.maximum(counts, 1)), 0).astype(np.float32) * self.idf
-        norm = np.linalg.norm(x, axis=1, keepdims=True)
-        return x / np.where(norm > 0, norm, 1)
+        x = counts.copy()
+        for a in range(0, len(x), ROWS_AT_ONCE):  # in place, as the sample's matrix is large
+            part = x[a : a + ROWS_AT_ONCE]
+            filled = part > 0
+            np.log(part, out=part, where=filled)
+            part += filled
+            part *= self.idf
+            norm = np.linalg.norm(part, axis=1, keepdims=True)
+            part /= np.where(norm > 0, norm, 1)
+        return x
 
     def predict(self, counts: np.ndarray, letters: np.ndarray) -> tuple[list[str | None], np.ndarray, np.ndarray]:
         if not self.languages:
@@ -113,13 +120,15 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 
 def train(languages: list[str], counts: np.ndarray, letters: np.ndarray, centroids: int = CENTROIDS_PER_LANGUAGE, slack: float = SLACK) -> Model:
     """A model of count vectors with their languages."""
-    used = letters > 0
-    languages, counts, letters = np.asarray(languages, dtype=object)[used], counts[used], letters[used]
+    languages, used = np.asarray(languages, dtype=object), letters > 0
+    if not used.all():
+        languages, counts, letters = languages[used], counts[used], letters[used]
     if not len(languages):
         return Model([], np.zeros((0, DIMENSIONS), np.float32), np.ones(DIMENSIONS, np.float32), np.zeros(32))
     idf = (1 + np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0)))).astype(np.float32)
     blank = Model([], np.zeros((0, DIMENSIONS), np.float32), idf, np.zeros(32))
     x = blank.vectors(counts)
+    del counts
     names, centers = [], []
     own = np.zeros(len(x))
     for language in sorted(set(languages)):
@@ -176,7 +185,9 @@ def fit(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, centroids: int
     counts = np.zeros((len(found), DIMENSIONS), np.float32)
     for i, (cells, values) in enumerate(zip(found["cells"], found["counts"])):
         counts[i, np.frombuffer(cells, np.uint16)] = np.frombuffer(values, np.float32)
-    return train(list(found["lang"]), counts, found["letters"].to_numpy(), centroids)
+    languages, letters = list(found["lang"]), found["letters"].to_numpy()
+    del found
+    return train(languages, counts, letters, centroids)
 
 
 def scored(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
@@ -196,6 +207,7 @@ def scored(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
             columns = [*batch.columns[:-1], pa.array(names, pa.string()), pa.array(np.concatenate(cosines or [np.empty(0)])), pa.array(np.concatenate(rejects or [np.empty(0, bool)]))]
             yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-1], "__tf_lang", "__tf_cos", "__tf_rej"])
 
+    small_batches(docs.sparkSession)
     return docs.select(*keep, F.lower("text").alias("__tf_text")).mapInArrow(run, ", ".join([*fields, "__tf_lang string", "__tf_cos double", "__tf_rej boolean"]))
 
 

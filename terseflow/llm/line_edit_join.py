@@ -22,11 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terseflow.llm.common import BLOCK_SCHEMA, GOLD, SPACE, U64, by_part, materialize, mix, pack, part_of, shuffle_parts, text_chunks, unpack
+from terseflow.llm.common import BLOCK_SCHEMA, GOLD, SPACE, U64, by_part, materialize, mix, pack, part_of, shuffle_parts, small_batches, text_chunks, unpack
 from terseflow.llm.order_minhash import banded_distance
 
 EDITS = 2
 MIN_BYTES = 32
+#: Bytes of text whose records a task holds before it sends them; each becomes about ten bytes of records.
+FLUSH_BYTES = 12 << 20
 NULL_ID = np.iinfo(np.int64).min
 
 _BASE = U64(0x9E3779B97F4A7C15)
@@ -134,7 +136,7 @@ def line_records(docs: DataFrame, edits: int, min_bytes: int, parts: int) -> Dat
                     near[0].append(keys & ~U64(3) | U64(kind))
                     near[1].append(both[once[lines], 0])
                 held += len(raw)
-                if held >= 48 << 20:
+                if held >= FLUSH_BYTES:
                     yield from flush()
                     held = 0
         yield from flush()
@@ -269,7 +271,8 @@ def lines_at(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def removals(docs: DataFrame, edits: int = EDITS, min_bytes: int = MIN_BYTES) -> DataFrame:
     """(id, place) of every line that goes; a null doc_id is NULL_ID."""
-    parts = shuffle_parts(docs.sparkSession)
+    parts = 2 * shuffle_parts(docs.sparkSession)  # the keys are several times the size of the texts
+    small_batches(docs.sparkSession)
     found = materialize(gather(line_records(docs, edits, min_bytes, parts), parts), "lines", "kind")
     copies = found.where(F.col("kind") == COPY).select(F.col("a").alias("id"), F.col("b").alias("place"))
     pairs = found.where(F.col("kind") == PAIR).select("a", "b").distinct()

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from terseflow.llm.common import GOLD, NOT_ALNUM, U64, materialize, mix, text_chunks, words
+from terseflow.llm.common import GOLD, NOT_ALNUM, U64, materialize, mix, small_batches, text_chunks, words
 
 K = 2
 SAMPLED = 3
@@ -226,6 +226,7 @@ def lengths_allow(x: str, y: str, threshold: float):
 
 def duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, duplicate_of): every document that does not stay, with the one of its group that does."""
+    small_batches(docs.sparkSession)
     found = materialize(sketches_of(docs), "sketches")
     folded = found.groupBy("f1", "f2").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys"))
     copies = found.select("id", "f1", "f2").join(folded.select("f1", "f2", "rep"), ["f1", "f2"]).where("id <> rep").select(F.col("id").alias("v"), F.col("rep").alias("u"))
