@@ -1,9 +1,9 @@
 """Text of web pages without the templates of their sites.
 
 Every element's subtree gets a Merkle hash of its tag, attributes, texts (white space collapsed) and children. Spark counts
-on how many pages of a host each hash occurs; subtrees on at least MIN_PAGES pages and the share MIN_SHARE of the host's
-pages are template, and the outermost of them are deleted before the text is taken. The host is the lower-cased authority
-of the URL, without user and port.
+on how many pages of a host each hash occurs; subtrees on at least MIN_PAGES pages are template, however many pages the
+host has, and the outermost of them are deleted before the text is taken. The host is the lower-cased authority of the
+URL, without user and port.
 
 The recurring hashes are a few for each host. While there are at most BROADCAST_HASHES they are broadcast as sorted
 numbers and no page is shuffled; beyond that every page's hashes are joined with them by key and its hits go back to it by
@@ -28,7 +28,6 @@ from pyspark.sql import functions as F
 from terseflow.llm.common import BLOCK_SCHEMA, U64, by_part, materialize, mix, pack, part_of, shuffle_parts, unpack
 
 MIN_PAGES = 5
-MIN_SHARE = 0.05
 BROADCAST_HASHES = 2_000_000
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -159,20 +158,19 @@ def among(x: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x
 
 
-def templates(pages: DataFrame, min_pages: int, min_share: float) -> DataFrame:
-    """(host, key) of the recurring subtrees; pages has host and html. Hashes are counted once a page."""
+def templates(pages: DataFrame, min_pages: int) -> DataFrame:
+    """The keys of the recurring subtrees; pages has host and html. Hashes are counted once a page."""
     spark = pages.sparkSession
     parts = shuffle_parts(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hosts, keys, held = [], [], 0
+        keys, held = [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             if keys:
                 k = np.concatenate(keys)
-                yield from pack(part_of(k, parts), [k, np.concatenate(hosts)], parts)
+                yield from pack(part_of(k, parts), [k], parts)
                 keys.clear()
-                hosts.clear()
 
         for batch in batches:
             for host, page in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -180,7 +178,6 @@ def templates(pages: DataFrame, min_pages: int, min_share: float) -> DataFrame:
                 if page:
                     k = np.unique(keys_of(host, elements(page)[2]))
                     keys.append(k)
-                    hosts.append(np.full(len(k), host_key(host)))
                     held += len(k)
             if held > 1 << 20:
                 yield from flush()
@@ -188,28 +185,17 @@ def templates(pages: DataFrame, min_pages: int, min_share: float) -> DataFrame:
         yield from flush()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, hosts = unpack(batches, ["u8", "u8"])
-        order = np.argsort(keys, kind="stable")
-        keys, hosts = keys[order], hosts[order]
-        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, int)
-        n = np.diff(np.append(first, len(keys)))
-        first, n = first[n >= min_pages], n[n >= min_pages]
-        yield pa.RecordBatch.from_arrays([pa.array(hosts[first].view(np.int64)), pa.array(keys[first].view(np.int64)), pa.array(n.astype(np.int64))], names=["hk", "key", "n"])
+        keys, n = np.unique(unpack(batches, ["u8"])[0], return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(keys[n >= min_pages].view(np.int64))], names=["key"])
 
-    @F.pandas_udf("long")
-    def host_hash(host):  # noqa: ANN001, ANN202
-        return host.map(lambda h: int(host_key(h).view(np.int64)))
+    return by_part(pages.mapInArrow(run, BLOCK_SCHEMA), parts).mapInArrow(count, "key long")
 
-    sizes = pages.where("html is not null").groupBy("host").agg(F.count("*").alias("pages")).select(host_hash("host").alias("hk"), "pages")
-    found = by_part(pages.mapInArrow(run, BLOCK_SCHEMA), parts).mapInArrow(count, "hk long, key long, n long")
-    return found.join(sizes, "hk").where(F.col("n") >= F.col("pages") * min_share).select("key")
 
-
-def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, broadcast_hashes: int = BROADCAST_HASHES) -> DataFrame:
+def extract(pages: DataFrame, min_pages: int = MIN_PAGES, broadcast_hashes: int = BROADCAST_HASHES) -> DataFrame:
     """(page_id, host, text, n_removed): the text of every page without the subtrees that recur on its host."""
     spark = pages.sparkSession
     source = pages.select("page_id", host_of(F.col("url")).alias("host"), "html")
-    recurring = materialize(templates(source.select("host", "html"), min_pages, min_share), "templates")
+    recurring = materialize(templates(source.select("host", "html"), min_pages), "templates")
     schema = "page_id long, host string, text string, n_removed long"
 
     def cut(batches: Iterator[pa.RecordBatch], known) -> Iterator[pa.RecordBatch]:  # noqa: ANN001

@@ -55,3 +55,10 @@ def test_extra_columns_are_left_aside(spark):
     rows = [(1, "http://h/", "<p>a</p>", "x", 1)]
     found = st.extract(spark.createDataFrame(rows, SCHEMA + ", host string, key int")).collect()
     assert [(r.page_id, r.host, r.text) for r in found] == [(1, "h", "a")]
+
+
+def test_section_templates_of_a_large_host(spark):
+    rows = [(i, f"http://big/{i}", f"<body><nav>Section {i % 50}</nav><p>Body {i}</p><footer>Foot {i % 75}</footer></body>") for i in range(300)]
+    found = {r.page_id: (r.text, r.n_removed) for r in st.extract(spark.createDataFrame(rows, SCHEMA)).collect()}
+    # 50 navs on 6 pages each go, 75 footers on 4 pages each stay
+    assert found == {i: (f"Body {i}\nFoot {i % 75}", 1) for i in range(300)}
