@@ -2,15 +2,15 @@
 
 Words are lower-cased runs of letters and digits. Anchors are winnowed K-grams of words: of every W neighbouring ones the
 lowest hash, so that each passage of K + W - 1 = MIN_WORDS words holds an anchor at the same place in all its copies.
-Occurrences of an anchor meet in one shuffle of (hash, place). Each is paired with the first occurrence of its anchor,
-with the first whose next anchor is also equal and with the first whose previous anchor is; a pair names a diagonal of
-two documents. The words of the partner along the diagonal are fetched, and equal runs are extended both ways to their
+Each anchor carries the hashes of the MIN_WORDS windows whose lowest k-gram it is; every window has one such anchor.
+Occurrences of an anchor meet in one shuffle. Each of its windows is paired with the first occurrence of that window, and
+the anchor with the first whose next anchor is also equal and with the first whose previous anchor is; a pair names a
+diagonal of two documents. The words of the partner along the diagonal are fetched, and equal runs are extended both ways to their
 ends; runs of at least MIN_WORDS words are repeats. Runs inside another run of the same document are not maximal and go.
 
-Work grows with the number of anchors, not with its square: pairs are to first occurrences, so a passage in a million
-documents makes about a million pairs. A document that holds a passage of MIN_WORDS words found elsewhere in the same
-neighbourhood of anchors is always found; the reported end can fall short of the longest possible by fewer than W words
-where only a third document, not one of the three partners, shares these.
+Work grows with the number of words, not with its square: pairs are to first occurrences, so a passage in a million
+documents makes about a million pairs. Every word inside a passage of MIN_WORDS words found elsewhere is in a reported
+run; where no partner shares the whole of a longest run, it is reported as overlapping runs with several partners.
 
 Defined cases: null and empty texts and texts of fewer than MIN_WORDS words have no repeats; a null doc_id is left out;
 rows that share a doc_id are one document, in which an equal place is not a repeat of itself, and its first row in the
@@ -60,12 +60,12 @@ def slide(x: np.ndarray, w: int, pick: np.ufunc) -> np.ndarray:
     return pick(x[: len(x) - (w - size)], x[w - size :]) if w > size else x
 
 
-def anchors(hashes: np.ndarray, first: np.ndarray, k: int = K, least: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """(places, hashes) of the winnowed k-grams of all rows."""
+def anchors(hashes: np.ndarray, first: np.ndarray, k: int = K, least: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(places, hashes) of the winnowed k-grams of all rows, (starts, anchors) of their windows: of equal lowest k-grams the first has the window."""
     w = least - k + 1
     grams = gram_hashes(hashes, k)
     if len(grams) < w:
-        return np.empty(0, np.int64), np.empty(0, U64)
+        return np.empty(0, np.int64), np.empty(0, U64), np.empty(0, np.int64), np.empty(0, np.int64)
     low = slide(grams, w, np.minimum)
     row = np.repeat(np.arange(len(first) - 1), np.diff(first))
     inside = row[: len(low)] == row[least - 1 : least - 1 + len(low)]
@@ -73,17 +73,47 @@ def anchors(hashes: np.ndarray, first: np.ndarray, k: int = K, least: int = MIN_
     edge = np.zeros(w - 1, U64)
     chosen = slide(np.concatenate([edge, low, edge]), w, np.maximum) == grams
     places = np.flatnonzero(chosen)
-    return places, grams[places]
+    starts = np.flatnonzero(inside)
+    owner = np.searchsorted(places, starts)
+    left = np.arange(len(starts))
+    while len(left := left[grams[places[owner[left]]] != low[starts[left]]]):
+        owner[left] += 1
+    return places, grams[places], starts, owner
 
 
-_DTYPES = ["u8", "u8", "u8", "i8", "i4", "i4"]
+#: Of an anchor: hash, next, previous, document, place, words of the document, words from its first window to it, its windows.
+_DTYPES = ["u8", "u8", "u8", "i8", "i4", "i4", "u1", "u1"]
+_WIDTH = sum(np.dtype(d).itemsize for d in _DTYPES)
+
+
+def pack_anchors(columns: list[np.ndarray], windows: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
+    """Blocks of anchors, each followed by its anchors' windows in their order."""
+    part = part_of(columns[0], parts)
+    for own in pack(part, columns, parts):
+        there = {}
+        for more in pack(np.repeat(part, columns[-1]), [windows], parts):
+            there = dict(zip(more.column(0).to_pylist(), more.column(1)))
+        blocks = [b.as_py() + (there[p].as_py()[8:] if p in there else b"") for p, b in zip(own.column(0).to_pylist(), own.column(1))]
+        yield pa.RecordBatch.from_arrays([own.column(0), pa.array(blocks, pa.binary())], names=["part", "block"])
+
+
+def unpack_anchors(batches: Iterator[pa.RecordBatch]) -> tuple[list[np.ndarray], np.ndarray]:
+    """(columns, windows) of all blocks of a task."""
+    kept = list(batches)
+    windows = []
+    for batch in kept:
+        for block in batch.column(batch.schema.get_field_index("block")):
+            raw = block.as_buffer()
+            windows.append(np.frombuffer(raw, U64, offset=8 + _WIDTH * int(np.frombuffer(raw, np.uint64, 1)[0])))
+    return unpack(iter(kept), _DTYPES), np.concatenate(windows) if windows else np.empty(0, U64)
 
 
 def anchor_blocks(docs: DataFrame, parts: int, k: int, least: int) -> DataFrame:
-    """Blocks of (anchor, next anchor, previous anchor, doc_id, place, words of the document)."""
+    """Blocks of anchors with their windows."""
+    assert least - k < 256, "counts of windows are bytes"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[list[np.ndarray]] = [[] for _ in _DTYPES]
+        kept: list[list[np.ndarray]] = [[] for _ in [*_DTYPES, "windows"]]
         held = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
@@ -91,13 +121,13 @@ def anchor_blocks(docs: DataFrame, parts: int, k: int, least: int) -> DataFrame:
                 columns = [np.concatenate(c) for c in kept]
                 for c in kept:
                     c.clear()
-                yield from pack(part_of(columns[0], parts), columns, parts)
+                yield from pack_anchors(columns[:-1], columns[-1], parts)
 
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for a, _, raw, offsets in text_chunks(batch.column(1)):
                 hashes, first = words(raw, offsets, NOT_ALNUM)
-                places, grams = anchors(hashes, first, k, least)
+                places, grams, starts, owner = anchors(hashes, first, k, least)
                 if not len(places):
                     continue
                 row = np.searchsorted(first, places, "right") - 1
@@ -105,11 +135,13 @@ def anchor_blocks(docs: DataFrame, parts: int, k: int, least: int) -> DataFrame:
                 same = row[1:] == row[:-1]
                 after[:-1][same] = grams[1:][same]
                 before[1:][same] = grams[:-1][same]
-                values = (grams, after, before, ids[a + row], (places - first[row]).astype(np.int32), np.diff(first)[row].astype(np.int32))
+                count, lead = np.bincount(owner, minlength=len(places)), np.zeros(len(places), np.int64)
+                lead[owner[::-1]] = (places[owner] - starts)[::-1]  # the first window's stays
+                values = (grams, after, before, ids[a + row], (places - first[row]).astype(np.int32), np.diff(first)[row].astype(np.int32), lead.astype(np.uint8), count.astype(np.uint8), gram_hashes(hashes, least)[starts])
                 for c, v in zip(kept, values):
                     c.append(v)
                 held += len(places)
-                if held > 1 << 20:
+                if held > 1 << 19:
                     yield from flush()
                     held = 0
         yield from flush()
@@ -127,7 +159,8 @@ def seeds(blocks: DataFrame, parts: int) -> DataFrame:
     """(u, v, n, shifts): document u has seeds with v, each `shift` words further on in v; n words in u."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h, after, before, doc, place, n = unpack(batches, _DTYPES)
+        (h, after, before, doc, place, n, lead, count), windows = unpack_anchors(batches)
+        begin = np.cumsum(count, dtype=np.int64) - count
         order = np.argsort(h, kind="stable")
         hs = h[order]
         many = np.zeros(len(hs), bool)
@@ -136,21 +169,27 @@ def seeds(blocks: DataFrame, parts: int) -> DataFrame:
             many[1:] |= equal
             many[:-1] |= equal
         order = order[many]
-        h, after, before, doc, place, n = (x[order] for x in (h, after, before, doc, place, n))
+        h, after, before, doc, place, n, lead, count, begin = (x[order] for x in (h, after, before, doc, place, n, lead, count, begin))
         found = []
         if len(h):
+            own = np.repeat(np.arange(len(h)), count)
+            nth = np.arange(len(own)) - np.repeat(np.cumsum(count, dtype=np.int64) - count, count)
+            windows = windows[np.repeat(begin, count) + nth]
+            spots = place.astype(np.int64)[own] - lead[own] + nth
             for extra in (None, after, before):
-                keys = (place, doc, h) if extra is None else (place, doc, extra, h)
-                by = np.lexsort(keys)
-                group = h[by] if extra is None else mix(h[by] + mix(extra[by]))
-                first = by[_first_of(group)]
-                u, v = by, first
+                if extra is None:
+                    by = np.lexsort((spots, doc[own], windows))
+                    u, v, at = own[by], own[by[(lead_of := _first_of(windows[by]))]], spots[by]
+                    shift = at[lead_of] - at
+                    other = (doc[u] != doc[v]) | (shift != 0)
+                else:
+                    by = np.lexsort((place, doc, extra, h))
+                    u, v = by, by[_first_of(mix(h[by] + mix(extra[by])))]
+                    shift = place[v].astype(np.int64) - place[u]
+                    other = ((doc[u] != doc[v]) | (shift != 0)) & (extra[u] != 0)
                 # a first occurrence needs no partner of its own: the runs of a pair count for both sides
-                other = (doc[u] != doc[v]) | (place[u] != place[v])
-                if extra is not None:
-                    other &= extra[u] != 0
-                u, v = u[other], v[other]
-                found.append(np.stack([doc[u], doc[v], place[v].astype(np.int64) - place[u], n[u].astype(np.int64)]))
+                u, v, shift = u[other], v[other], shift[other]
+                found.append(np.stack([doc[u], doc[v], shift, n[u].astype(np.int64)]))
         rows = np.concatenate(found, axis=1) if found else np.empty((4, 0), np.int64)
         if rows.shape[1]:
             rows = rows[:, np.lexsort(rows[::-1])]

@@ -2,6 +2,8 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+
 from terseflow.llm import substring_repeats as sr
 
 
@@ -57,3 +59,33 @@ def test_edge_cases(make):
     found = sorted((r.doc_id, r.start, r.end, r.other_id) for r in sr.repeats(make(rows)).collect())
     assert found == [(4, 0, 30_000, 5), (5, 0, 30_000, 4)]
     assert sr.repeats(make([])).count() == 0
+
+
+def test_nested_phrases_equal_brute_force(make, vocabulary):
+    rng = random.Random(9)
+
+    def random_words(n):
+        return [rng.choice(vocabulary) for _ in range(n)]
+
+    rows = []
+    for s, p in [(49, 50), (49, 55), (45, 50), (45, 55), (49, 60), (40, 50), (26, 50)] * 12:
+        phrase, tail = random_words(s), random_words(p - s)
+        for more in ([], tail, tail):
+            rows.append((len(rows), " ".join(random_words(rng.randint(0, 40)) + phrase + more + random_words(rng.randint(0, 40)))))
+    # a long passage of which each earlier document has another part
+    long = random_words(200)
+    for a in (0, 37, 81, 110, 149):
+        rows.append((len(rows), " ".join(random_words(5) + long[a : a + 51] + random_words(5))))
+    rows += [(len(rows), " ".join(long)), (len(rows) + 1, " ".join(random_words(3) + long))]
+    found = sr.repeats(make(rows)).collect()
+    assert {(r.doc_id, j) for r in found for j in range(r.start, r.end)} == covered(rows)
+
+
+def test_every_window_has_an_anchor():
+    rng = np.random.default_rng(2)
+    hashes, first = rng.integers(0, 3, 900).astype(np.uint64), np.array([0, 0, 49, 99, 700, 900])
+    with np.errstate(over="ignore"):
+        places, _, starts, owner = sr.anchors(hashes * np.uint64(0x9E3779B97F4A7C15), first)
+    assert starts.tolist() == [*range(49, 50), *range(99, 651), *range(700, 851)]
+    gap = places[owner] - starts
+    assert ((gap >= 0) & (gap <= 24)).all() and (np.diff(owner) >= 0).all()
