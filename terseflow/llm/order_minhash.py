@@ -2,8 +2,9 @@
 
 Words are lower-cased runs of letters and digits. A sketch samples the few k-mers of words, labelled by their occurrence
 number, that a seeded hash puts first, and keeps them in the order of the text, so that two documents agree in a sketch
-with a probability that follows their edit similarity. Documents that agree in any sketch are candidates; a pair is near
-when the word-level edit distance, computed bit-parallel inside the band that the threshold leaves, is at most
+with a probability that follows their edit similarity. Documents of at most SHORT words have few k-mers, so they also get
+a key for each way to leave out as many words as the threshold lets differ; of two of them that are near, none is missed.
+Documents that agree in any key are candidates; a pair is near when the word-level edit distance, computed bit-parallel inside the band that the threshold leaves, is at most
 (1 - threshold) of the longer document. Groups are the connected components; one document of each, that of the lowest id,
 stays.
 
@@ -19,6 +20,7 @@ is. Texts are read whole, their length only bounds the band.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +32,9 @@ from terseflow.llm.common import GOLD, NOT_ALNUM, U64, materialize, mix, small_b
 
 K = 2
 SAMPLED = 3
-SKETCHES = 20
+SKETCHES = 60
 THRESHOLD = 0.8
+SHORT = 14
 LAST = U64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -92,8 +95,44 @@ def sketch(hashes: np.ndarray, first: np.ndarray, k: int = K, sampled: int = SAM
     return out
 
 
-def sketches_of(docs: DataFrame) -> DataFrame:
-    """doc_id, words, two fingerprints of the word sequence and the sketch keys. One narrow pass."""
+def left_out(n: int, threshold: float) -> int:
+    """How many words of a document of n two near documents of at most SHORT words can differ in."""
+    return max((allowed(m, threshold) for m in range(n, SHORT + 1) if m - allowed(m, threshold) <= n), default=0)
+
+
+def deletion_keys(x: np.ndarray, most: int) -> np.ndarray:
+    """rows x keys, for rows of as many words: a key for each way to leave out up to `most` of them."""
+    n = x.shape[1]
+    found = []
+    for r in range(min(most, n - 1) + 1):
+        kept = np.array(list(combinations(range(n), n - r)))
+        key = np.full((len(x), len(kept)), LAST)
+        for i in range(n - r):
+            key = mix(key * GOLD + x[:, kept[:, i]])
+        found.append(key)
+    return np.concatenate(found, axis=1)
+
+
+def keys_of(hashes: np.ndarray, first: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, bounds of the rows): the sketches of each row, then the deletion keys of a short one."""
+    sketches, size = sketch(hashes, first), np.diff(first)
+    short: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    count = np.full(len(size), SKETCHES)
+    for n in range(1, SHORT + 1):
+        rows, most = np.flatnonzero(size == n), left_out(n, threshold)
+        if most and len(rows):
+            short[n] = rows, deletion_keys(hashes[first[rows][:, None] + np.arange(n)], most)
+            count[rows] += short[n][1].shape[1]
+    bounds = np.concatenate([[0], np.cumsum(count)])
+    out = np.empty(bounds[-1], U64)
+    out[bounds[:-1, None] + np.arange(SKETCHES)] = sketches
+    for rows, keys in short.values():
+        out[bounds[rows][:, None] + SKETCHES + np.arange(keys.shape[1])] = keys
+    return out, bounds
+
+
+def sketches_of(docs: DataFrame, threshold: float) -> DataFrame:
+    """doc_id, words, two fingerprints of the word sequence and the keys. One narrow pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -101,9 +140,9 @@ def sketches_of(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for a, b, raw, offsets in text_chunks(batch.column(1)):
                 hashes, first = words(raw, offsets, NOT_ALNUM)
-                keys = sketch(hashes, first)
+                keys, bounds = keys_of(hashes, first, threshold)
                 prints = np.frombuffer(b"".join(xxhash.xxh3_128_digest(hashes[first[i] : first[i + 1]].tobytes()) for i in range(b - a)), np.int64).reshape(-1, 2)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1) * SKETCHES, pa.int32()), pa.array(keys.reshape(-1).view(np.int64)))
+                lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(keys.view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(a, b - a), pa.array(np.diff(first)), pa.array(prints[:, 0].copy()), pa.array(prints[:, 1].copy()), lists], names=["id", "n", "f1", "f2", "keys"]
                 )
@@ -227,10 +266,11 @@ def lengths_allow(x: str, y: str, threshold: float):
 def duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, duplicate_of): every document that does not stay, with the one of its group that does."""
     small_batches(docs.sparkSession)
-    found = materialize(sketches_of(docs), "sketches")
+    found = materialize(sketches_of(docs, threshold), "sketches")
     folded = found.groupBy("f1", "f2").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys"))
     copies = found.select("id", "f1", "f2").join(folded.select("f1", "f2", "rep"), ["f1", "f2"]).where("id <> rep").select(F.col("id").alias("v"), F.col("rep").alias("u"))
-    rows = folded.select(F.explode(F.array_distinct("keys")).alias("key"), F.col("rep").alias("id"), "n").distinct()
+    # one exchange by key serves the distinct rows, the pivots and their join
+    rows = folded.select(F.explode(F.array_distinct("keys")).alias("key"), F.col("rep").alias("id"), "n").repartition("key").distinct()
     pivots = rows.groupBy("key").agg(F.min(F.struct("id", "n")).alias("p"), F.count("*").alias("c")).where("c > 1")
     members = materialize(rows.join(pivots, "key").select("key", "id", "n", F.col("p.id").alias("pivot"), F.col("p.n").alias("pn")), "buckets")
     star = members.where(F.col("id") != F.col("pivot")).where(lengths_allow("n", "pn", threshold)).select(F.col("pivot").alias("u"), F.col("id").alias("v")).distinct()

@@ -79,3 +79,39 @@ def test_clashing_columns(spark):
     rows = [(1, "a b c", 1, "x"), (2, "a b c", 2, "y")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, id long, keys string")
     assert [r.asDict() for r in om.drop_near_duplicates(docs).collect()] == [{"doc_id": 1, "text": "a b c", "id": 1, "keys": "x"}]
+
+
+def edited(rng, words, edits, vocabulary):
+    copy = list(words)
+    for _ in range(edits):
+        at, kind = rng.randrange(len(copy)), rng.choice("sid")
+        copy[at : at + (kind != "i")] = [] if kind == "d" else [rng.choice(vocabulary)]
+    return copy
+
+
+def test_short_texts_equal_brute_force(make, vocabulary):
+    rng = random.Random(5)
+    rows = []
+    for n in range(1, 15):
+        for _ in range(12):
+            rows.append([rng.choice(vocabulary) for _ in range(n)])
+            rows.append(edited(rng, rows[-1], om.allowed(n, om.THRESHOLD), vocabulary))
+        if 5 <= n <= 9:
+            rows.append([*rows[-2][: n // 2], "middle", *rows[-2][n // 2 + 1 :]])
+    near = [(i, j) for i in range(len(rows)) for j in range(i) if distance(rows[i], rows[j]) <= om.allowed(max(len(rows[i]), len(rows[j])), om.THRESHOLD)]
+    found = {r.doc_id: r.duplicate_of for r in om.duplicates(make([(i, " ".join(t)) for i, t in enumerate(rows)])).collect()}
+    assert found == groups(near)
+
+
+def test_candidates_at_the_threshold():
+    rng = np.random.default_rng(6)
+    for n, edits in ((5, 1), (7, 1), (10, 2), (14, 2), (15, 3), (20, 3), (20, 4), (50, 10), (100, 15), (100, 20), (250, 50)):
+        x = rng.integers(1, 1 << 63, (150, n)).astype(np.uint64)
+        y = x.copy()
+        for i in range(len(x)):
+            y[i, rng.choice(n, edits, replace=False)] = rng.integers(1, 1 << 63, edits)
+        first = np.arange(len(x) + 1) * n
+        with np.errstate(over="ignore"):
+            (a, bounds), (b, _) = om.keys_of(x.ravel(), first, om.THRESHOLD), om.keys_of(y.ravel(), first, om.THRESHOLD)
+        hit = [len(np.intersect1d(a[p:q], b[p:q])) > 0 for p, q in zip(bounds[:-1], bounds[1:])]
+        assert np.mean(hit) >= (1 if n <= om.SHORT else 0.96), (n, edits, np.mean(hit))
