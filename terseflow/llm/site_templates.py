@@ -11,7 +11,8 @@ page_id.
 
 Defined cases: null html gives null text and removes nothing; empty html gives empty text; a null or odd URL belongs to
 the host ''; a subtree that occurs twice on a page counts once; repeated rows count as pages of their own; void elements,
-the root and the body are no subtrees; markup that never closes ends with its parent; an unclosed quote or '<' is text.
+the root and the body are no subtrees; markup that never closes ends with its parent, an open head before the first thing
+that can't be in one; a noscript that never closes is no noscript; an unclosed quote or '<' is text.
 """
 
 from __future__ import annotations
@@ -41,7 +42,12 @@ CLOSES |= {"tr": (frozenset({"tr"}), _TABLE), "td": (frozenset({"td", "th"}), _T
 RAW = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in ("script", "style", "textarea", "title", "noscript")}
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
-_HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|head)(?=[\s>]).*?(?:</\1\s*>|\Z)|<[!?][^>]*>", re.S | re.I)
+_REST = r"""(?=[\s/>])(?:[^>"']|"[^"]*"|'[^']*')*+>"""
+#: A head with what can be in one, up to its end tag or to the first thing that can't.
+_HEAD = rf"""<head{_REST}(?>\s+|<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(script|style|title|template)(?=[\s>]).*?(?:</\1\s*>|\Z)|<noscript(?=[\s>])(?:(?!</?(?:noscript|head|body)[\s>]).)*+</noscript\s*>|</?(?:meta|link|base|basefont|bgsound|noscript){_REST})*+(?:</head\s*>)?"""
+_HIDDEN = re.compile(rf"<!--.*?(?:-->|\Z)|{_HEAD}|<(script|style|noscript)(?=[\s>]).*?(?:</\2\s*>|\Z)|<[!?][^>]*>", re.S | re.I)
+_NOSCRIPT, _NOSCRIPT_END = re.compile(r"<noscript(?=[\s>])[^>]*>", re.I), re.compile(r"</noscript\s*>", re.I)
+IN_HEAD = frozenset("base basefont bgsound link meta noscript script style template title".split())
 _SPACES = re.compile(r"[^\S\n]+")
 
 
@@ -64,11 +70,14 @@ def elements(page: str) -> tuple[list[int], list[int], list[int]]:
             ends.append(at)
             hashes.append(h)
 
+    last_noscript = max((m.start() + 1 for m in RAW["noscript"].finditer(page)), default=0)
     at = 0
     while True:
         m = _TOKEN.search(page, at)
         text = page[at : m.start() if m else len(page)].split()
         if text:
+            if tags[-1] == "head":
+                close(at)
             pieces[-1].append(b"t" + " ".join(text).encode("utf-8", "replace"))
         if not m:
             break
@@ -82,6 +91,8 @@ def elements(page: str) -> tuple[list[int], list[int], list[int]]:
                     close(m.start())
                 close(at)
             continue
+        if tags[-1] == "head" and tag not in IN_HEAD:
+            close(m.start())
         rule = CLOSES.get(tag)
         if rule and any(open_count.get(t) for t in rule[0]):
             i = len(tags) - 1
@@ -99,7 +110,7 @@ def elements(page: str) -> tuple[list[int], list[int], list[int]]:
         opened.append(m.start())
         pieces.append([head])
         open_count[tag] = open_count.get(tag, 0) + 1
-        if tag in RAW:
+        if tag in RAW and (tag != "noscript" or at < last_noscript):
             end = RAW[tag].search(page, at)
             pieces[-1].append(page[at : end.start() if end else len(page)].encode("utf-8", "replace"))
             at = end.end() if end else len(page)
@@ -111,7 +122,8 @@ def elements(page: str) -> tuple[list[int], list[int], list[int]]:
 
 def visible(page: str) -> str:
     """The text a reader sees: a line for each block, white space collapsed."""
-    page = _HIDDEN.sub(" ", page)
+    closed = max((m.end() for m in _NOSCRIPT_END.finditer(page)), default=0)
+    page = _HIDDEN.sub(" ", page[:closed] + _NOSCRIPT.sub(" ", page[closed:]))
     out, at = [], 0
     for m in _TOKEN.finditer(page):
         out.append(page[at : m.start()].replace("\n", " "))

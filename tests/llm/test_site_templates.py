@@ -62,3 +62,13 @@ def test_section_templates_of_a_large_host(spark):
     found = {r.page_id: (r.text, r.n_removed) for r in st.extract(spark.createDataFrame(rows, SCHEMA)).collect()}
     # 50 navs on 6 pages each go, 75 footers on 4 pages each stay
     assert found == {i: (f"Body {i}\nFoot {i % 75}", 1) for i in range(300)}
+
+
+def test_unclosed_heads_and_noscripts():
+    for head in ("<head><title>t</title>", "<head lang='>'><meta charset=x><!-- </head> -->\n<script>'<body>'</script><title>a <style> b</title><noscript><link></noscript>", "<HEAD><style>p{}</style><noscript>"):
+        for rest in ("<body><p>a</p><p>b</p></body>", "<p>a</p><p>b</p>", "<noscript>x</noscript><p>a<p>b", "</head><body><p>a<p>b", "a<p>b</html>"):
+            assert st.visible(f"<html>{head}{rest}") == "a\nb", (head, rest)
+    assert st.visible("<p>a<noscript><p>b") == "a\nb" and st.visible("<p>a<noscript>x</noscript><noscript>b") == "a b"
+    page = "<head><title>t</title><body><p>a</p><noscript><p>b</p>"
+    starts, ends, _ = st.elements(page)
+    assert {"<head><title>t</title>", "<p>a</p>", "<p>b</p>"} <= {page[a:b] for a, b in zip(starts, ends)}
