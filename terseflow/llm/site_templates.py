@@ -7,7 +7,7 @@ URL, without user and port.
 
 The recurring hashes are a few for each host. While there are at most BROADCAST_HASHES they are broadcast as sorted
 numbers and no page is shuffled; beyond that every page's hashes are joined with them by key and its hits go back to it by
-page_id.
+page_id, or by a hash of its text where that is null; pages that share either share their hits, which is no harm.
 
 Defined cases: null html gives null text and removes nothing; empty html gives empty text; a null or odd URL belongs to
 the host ''; a subtree that occurs twice on a page counts once; repeated rows count as pages of their own; void elements,
@@ -231,10 +231,11 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, broadcast_hashes: int
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for page_id, host, page in zip(*(c.to_pylist() for c in batch.columns)):
+            for row, host, page in zip(*(c.to_pylist() for c in batch.columns)):
                 k = np.unique(keys_of(host, elements(page)[2]))
-                yield pa.RecordBatch.from_arrays([pa.array([page_id] * len(k), pa.int64()), pa.array(k.view(np.int64))], names=["page_id", "key"])
+                yield pa.RecordBatch.from_arrays([pa.array([row] * len(k), pa.int64()), pa.array(k.view(np.int64))], names=["row", "key"])
 
-    hits = source.where("html is not null and page_id is not null").mapInArrow(hashes, "page_id long, key long").join(recurring, "key").groupBy("page_id").agg(F.collect_set("key").alias("hits"))
-    joined = source.join(hits.withColumnRenamed("page_id", "__tf_id"), F.col("page_id") == F.col("__tf_id"), "left").select("page_id", "host", "html", "hits")
+    row = F.coalesce(F.col("page_id").cast("long"), F.xxhash64("host", "html"))
+    hits = source.where("html is not null").select(row.alias("row"), "host", "html").mapInArrow(hashes, "row long, key long").join(recurring, "key").groupBy("row").agg(F.collect_set("key").alias("hits"))
+    joined = source.join(hits, row == F.col("row"), "left").select("page_id", "host", "html", "hits")
     return joined.mapInArrow(lambda b: cut(b, lambda batch, i: np.sort(np.array(batch.column(3)[i].as_py() or [], np.int64).view(U64))), schema)

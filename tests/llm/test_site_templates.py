@@ -72,3 +72,10 @@ def test_unclosed_heads_and_noscripts():
     page = "<head><title>t</title><body><p>a</p><noscript><p>b</p>"
     starts, ends, _ = st.elements(page)
     assert {"<head><title>t</title>", "<p>a</p>", "<p>b</p>"} <= {page[a:b] for a, b in zip(starts, ends)}
+
+
+def test_null_page_ids_lose_their_templates_at_every_size(spark):
+    rows = [(None if i % 2 else i, *page(i, f"<p>Body {i}</p>")[1:]) for i in range(8)] + [(None, None, None), (None, "http://b/", "<nav>Home</nav>")]
+    for limit in (10**6, -1):
+        found = [(r.page_id, r.text, r.n_removed) for r in st.extract(spark.createDataFrame(rows, SCHEMA), broadcast_hashes=limit).collect()]
+        assert sorted(found, key=str) == sorted([(None if i % 2 else i, f"Body {i}", 3) for i in range(8)] + [(None, None, 0), (None, "Home", 0)], key=str)
