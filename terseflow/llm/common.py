@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+import weakref
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
@@ -18,13 +20,15 @@ CHUNK_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share. It comes from spark.checkpoint.dir; only where that is unset (tests) a folder is made."""
+    """The folder all executors share, from spark.checkpoint.dir. Only a local master, as in tests, gets one of its own where that is unset."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
     jsc = spark.sparkContext._jsc.sc()
     if jsc.getCheckpointDir().isDefined():
         return jsc.getCheckpointDir().get().rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="terseflow-"))
     return jsc.getCheckpointDir().get().rstrip("/")
 
@@ -37,14 +41,61 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return path
 
 
+_PATH_OF: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
+
+
 def materialize(df: DataFrame, label: str, partition_by: str | None = None) -> DataFrame:
     """Write `df` to the shared folder and read it again: lineage is cut, executors may be lost, and Catalyst sees the true size."""
     spark = df.sparkSession
     path = shared_path(spark, label)
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
-    schema = df.schema
-    return spark.read.schema(schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    _PATH_OF[found] = path
+    return found
+
+
+def remove(table: DataFrame) -> None:
+    """Delete what materialize() wrote; nothing that is read from it may be left to run."""
+    spark, path = table.sparkSession, _PATH_OF.pop(table)
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
+
+
+# -- columns of any name -------------------------------------------------------------------------------------------
+
+
+def found_at(names: list[str], name: str) -> int:
+    """The place of a column: of the very name, else of the same but for case."""
+    return names.index(name) if name in names else [n.lower() for n in names].index(name.lower())
+
+
+class Names:
+    """The names of a table whose columns are called c0, c1 and so on for a while, so that none clashes or needs quoting."""
+
+    def __init__(self, names: list[str]) -> None:
+        self.names = names
+
+    def of(self, name: str) -> str:
+        return f"c{found_at(self.names, name)}"
+
+    def restore(self, df: DataFrame, changed: dict[str, Column] | None = None, new: dict[str, Column] | None = None) -> DataFrame:
+        """The columns under their old names, those of `changed` with new values, then the `new` ones; a column of the table that is called as a new one is left out."""
+        changed = {found_at(self.names, k): v for k, v in (changed or {}).items()}
+        taken = {n.lower() for n in new or {}}
+        old = [changed.get(i, F.col(f"c{i}")).alias(n) for i, n in enumerate(self.names) if n.lower() not in taken]
+        return df.select(*old, *[c.alias(n) for n, c in (new or {}).items()])
+
+
+def neutral(df: DataFrame) -> tuple[DataFrame, Names]:
+    """`df` with its columns called c0, c1 and so on, and the way back."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))]), Names(df.columns)
+
+
+def named(df: DataFrame, *wanted: str) -> DataFrame:
+    """The wanted columns alone, whatever else the table has."""
+    plain, names = neutral(df)
+    return plain.select(*[F.col(names.of(w)).alias(w) for w in wanted])
 
 
 def small_batches(spark: SparkSession, size: int = 8 << 20) -> None:

@@ -8,27 +8,31 @@ Documents that agree in any key are candidates; a pair is near when the word-lev
 (1 - threshold) of the longer document. Groups are the connected components; one document of each, that of the lowest id,
 stays.
 
-Large groups need no quadratic work: copies with equal words are folded first, each bucket is compared with its lowest
-member, and only pairs that are still in different components are compared after that, so every candidate pair is
-either verified or already connected.
+Large groups need no quadratic work: copies with equal words are folded first and each bucket is compared with its lowest
+member. What that leaves apart is compared pair by pair in small buckets; large ones are split, exactly, by the rarest of
+the words that their members do not share with the lowest one (see bucket_edges), until they are small. So every
+candidate pair is verified, connected already, or shown to be too far apart.
 
 Defined cases: texts without words (null, empty, punctuation) are in no group; documents of fewer than k words are one
-short k-mer; a null doc_id is in no group; rows that share a doc_id are one document, near to another if any of the rows
-is. Texts are read whole, their length only bounds the band.
+short k-mer; a null doc_id is in no group and stays; rows that share a doc_id are one document, near to another if any of
+the rows is; equal and repeated rows are folded; columns besides doc_id and text are never looked at, whatever their
+names, and drop_near_duplicates() returns them as they are; an empty table gives no rows. Texts are read whole, their
+length only bounds the band.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Callable, Iterator, Sequence
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from terseflow.llm.common import GOLD, NOT_ALNUM, U64, materialize, mix, small_batches, text_chunks, words
+from terseflow.llm.common import GOLD, NOT_ALNUM, U64, materialize, mix, named, neutral, remove, small_batches, text_chunks, words
 
 K = 2
 SAMPLED = 3
@@ -72,22 +76,27 @@ def sketch(hashes: np.ndarray, first: np.ndarray, k: int = K, sampled: int = SAM
     starts = bounds[:-1][filled]
     sizes = np.diff(bounds)[filled]
     segment = np.repeat(np.arange(len(filled)), sizes)
+    padded = np.append(x, U64(0))
+    # nearly always the lowest few of a long row are under this bound, so only what is gets sorted
+    bound = np.where(sizes <= 8 * sampled, LAST, LAST // sizes.astype(U64) * U64(5 * sampled))
+    bound = np.repeat(bound, sizes)
+    wanted = np.minimum(sizes, sampled)
     for j in range(sketches):
         h = (x ^ mix(np.array([j + 1], U64) * GOLD)) * U64(0x9FB21C651E98DF25)
         h ^= h >> U64(29)
         h *= U64(0xD6E8FEB86659FD93)
         h = np.minimum(h, LAST - U64(1))
+        low = np.flatnonzero(h < bound)
+        low = low[np.lexsort((h[low], segment[low]))]
+        begin = np.searchsorted(segment[low], np.arange(len(filled) + 1))
         places = np.full((sampled, len(filled)), len(x), np.int64)
         for s in range(sampled):
-            low = np.minimum.reduceat(h, starts)
-            hit = np.flatnonzero((h == low[segment]) & (h != LAST))
-            owner = segment[hit]
-            lead = np.ones(len(hit), bool)
-            lead[1:] = owner[1:] != owner[:-1]
-            places[s, owner[lead]] = hit[lead]
-            h[hit[lead]] = LAST
+            there = begin[:-1] + s < begin[1:]
+            places[s, there] = low[begin[:-1][there] + s]
+        for r in np.flatnonzero(np.diff(begin) < wanted):
+            own = starts[r] + np.argsort(h[starts[r] : starts[r] + sizes[r]], kind="stable")[: wanted[r]]
+            places[: len(own), r] = own
         places.sort(axis=0)
-        padded = np.append(x, U64(0))
         key = np.full(len(filled), U64(j + 1))
         for s in range(sampled):
             key = mix(key * GOLD + padded[places[s]])
@@ -153,9 +162,50 @@ def sketches_of(docs: DataFrame, threshold: float) -> DataFrame:
 
 # -- banded alignment ----------------------------------------------------------------------------------------------
 
+#: Bands of at most so many bits keep a mask for each symbol in the band; wider ones keep places and make most masks when asked.
+DENSE_BITS = 8192
 
-def banded_distance(a: list, b: list, limit: int) -> int:
-    """The edit distance of two sequences, or limit + 1 if it is larger: Hyyro's bit-parallel columns, 2 * limit + 1 bits wide, moving along the diagonal."""
+
+def _placed(a: Sequence, k: int) -> Callable[[object, int], int]:
+    """(symbol, first place of the band) -> its mask, for wide bands: few places are set one by one, a mask of many is kept and moved."""
+    places: dict = {}
+    for i, x in enumerate(a):
+        places.setdefault(x, []).append(i)
+    kept: dict = {}
+    width = 2 * k + 1
+
+    def match(x: object, low: int) -> int:
+        own = places.get(x)
+        if own is None:
+            return 0
+        begin, end = bisect_left(own, low), bisect_left(own, low + width)
+        if end - begin <= 32:
+            mask = 0
+            for i in own[begin:end]:
+                mask |= 1 << (i - low)
+            return mask
+        mask, then, upto = kept.get(x, (0, low, begin))
+        mask >>= low - then
+        if end - upto > 32:
+            bits = np.zeros(width, np.uint8)
+            bits[np.array(own[begin:end]) - low] = 1
+            mask = int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
+        else:
+            for i in own[max(begin, upto) : end]:
+                mask |= 1 << (i - low)
+        if len(kept) * width > 1 << 28:  # 32 MB of masks
+            kept.clear()
+        kept[x] = mask, low, end
+        return mask
+
+    return match
+
+
+def banded_distance(a: Sequence, b: Sequence, limit: int) -> int:
+    """The edit distance of two sequences, or limit + 1 if it is larger: Hyyro's bit-parallel columns, 2 * limit + 1 bits wide, moving along the diagonal.
+
+    Masks are those of the band, not of the sequence: a symbol's moves along with it and goes when it is empty.
+    """
     if len(a) < len(b):
         a, b = b, a
     m, n = len(a), len(b)
@@ -163,21 +213,36 @@ def banded_distance(a: list, b: list, limit: int) -> int:
         return limit + 1
     if not n:
         return m
-    at: dict = {}
-    for i, x in enumerate(a):
-        at[x] = at.get(x, 0) | 1 << i
     k = min(limit, m)
     width = 2 * k + 1
     mask = (1 << width) - 1
     top = 1 << (width - 1)
+    placed = _placed(a, k) if width > DENSE_BITS else None
+    at: dict = {}  # symbol: (mask, column that it is for)
+    if not placed:
+        for i in range(k):
+            at[a[i]] = at.get(a[i], (0, 1))[0] | 1 << (i + k), 1
     up = ((1 << (k + 1)) - 1) << k
     down = 0
     distance = k
     bound = k + (n - m + k)
     for j in range(1, n + 1):
-        match = at.get(b[j - 1], 0)
-        shift = j - k - 1
-        match = (match >> shift if shift >= 0 else match << -shift) & mask
+        if placed:
+            match = placed(b[j - 1], j - k - 1)
+        else:
+            i = j - 1 + k
+            if i < m:
+                x = a[i]
+                old = at.get(x)
+                at[x] = (old[0] >> (j - old[1]) | top, j) if old else (top, j)
+            i = j - k - 2
+            if i >= 0:
+                x = a[i]
+                old = at.get(x)
+                if old and not old[0] >> (j - old[1]):
+                    del at[x]
+            old = at.get(b[j - 1])
+            match = old[0] >> (j - old[1]) if old else 0
         d0 = (((match & up) + up) ^ up | match | down) & mask
         hp = (down | ~(d0 | up)) & mask
         hn = d0 & up
@@ -198,7 +263,7 @@ def allowed(n: int, threshold: float) -> int:
 
 
 def near(a: np.ndarray, b: np.ndarray, threshold: float) -> bool:
-    """Whether two arrays of word hashes are within the threshold; common ends are set aside first."""
+    """Whether two arrays of word hashes are within the threshold. Common ends are set aside first, then the band is widened step by step, so that close documents cost little."""
     limit = allowed(max(len(a), len(b)), threshold)
     if abs(len(a) - len(b)) > limit:
         return False
@@ -211,85 +276,175 @@ def near(a: np.ndarray, b: np.ndarray, threshold: float) -> bool:
         differ = np.flatnonzero(a[len(a) - n :][::-1] != b[len(b) - n :][::-1])
         tail = int(differ[0]) if len(differ) else n
         a, b = a[: len(a) - tail], b[: len(b) - tail]
-    return banded_distance(a.tolist(), b.tolist(), limit) <= limit
+    if max(len(a), len(b)) - common(a, b) > limit:  # no alignment can have fewer edits
+        return False
+    x, y, band = a.tolist(), b.tolist(), min(limit, 16)
+    while banded_distance(x, y, band) > band:
+        if band == limit:
+            return False
+        band = min(limit, 8 * band)
+    return True
 
 
-def verified(docs: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (u, v) of ids whose documents are near. The documents are shuffled once by id and used for both sides."""
+def numbered(x: np.ndarray) -> np.ndarray:
+    """The sorted words of a document, each with its occurrence number."""
+    if not len(x):
+        return x
+    x = np.sort(x)
+    begin = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
+    number = np.arange(len(x)) - np.repeat(begin, np.diff(np.append(begin, len(x))))
+    return np.sort(mix(x + number.astype(U64) * U64(0x165667B19E3779F9)))
+
+
+def common(a: np.ndarray, b: np.ndarray) -> int:
+    """How many words two documents share, counted as often as both have them."""
+    return len(np.intersect1d(numbered(a), numbered(b), assume_unique=True))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = np.zeros(batch.num_rows, bool)
-            for a, b, raw, offsets in text_chunks(batch.column(3)):
-                right = words(raw, offsets, NOT_ALNUM)
-                for c, d, raw_left, offsets_left in text_chunks(batch.column(2).slice(a, b - a)):
-                    left = words(raw_left, offsets_left, NOT_ALNUM)
-                    for i in range(c, d):
-                        x = left[0][left[1][i - c] : left[1][i - c + 1]]
-                        y = right[0][right[1][i] : right[1][i + 1]]
-                        keep[a + i] = len(x) > 0 and len(y) > 0 and near(x, y, threshold)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(keep))
 
+#: Partners that a document's text is sent along with; one of more partners goes to several tasks.
+PARTNERS = 256
+#: Members of a bucket that are compared with each other as they are; larger buckets are split by words.
+SMALL = 64
+
+
+def compared(docs: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
+    """(u, v, ok, slack, rest) for pairs (u, v, hot) of ids: whether the documents are near and, for hot pairs, the words that
+    v has beyond those of u (numbered by occurrence) and how many of v's words may be missing in a document near to it.
+
+    A document's text goes once to each PARTNERS partners. One join fetches all texts, never by broadcast.
+    """
+    counts = pairs.groupBy("u").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("chunks"))
+    asked = pairs.join(counts, "u").select(F.col("v").alias("id"), "u", F.pmod(F.xxhash64("v"), F.col("chunks")).cast("int").alias("chunk"), "v", "hot")
+    own = counts.select(F.col("u").alias("id"), "u", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(None).cast("long").alias("v"), F.lit(False).alias("hot"))
     texts = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("__tf_id"), F.lower("text").alias("__tf_text"))
-    # one strategy at every size: the texts are never broadcast
-    right = pairs.join(texts.hint("merge"), pairs["v"] == texts["__tf_id"]).select("u", "v", F.col("__tf_text").alias("tv"))
-    both = right.join(texts.hint("merge"), F.col("u") == F.col("__tf_id")).select("u", "v", F.col("__tf_text").alias("tu"), "tv")
-    return both.mapInArrow(run, "u long, v long").distinct()
+    asked = own.unionByName(asked)
+    sent = texts.hint("merge").join(asked, texts["__tf_id"] == asked["id"]).select("u", "chunk", "v", "hot", "__tf_text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, mine, base = None, [], None
+        for batch in batches:
+            us, chunks, vs, hots = (batch.column(i).to_pylist() for i in range(4))
+            out: list[tuple] = []
+            for a, b, raw, offsets in text_chunks(batch.column(4)):
+                hashes, first = words(raw, offsets, NOT_ALNUM)
+                for i in range(a, b):
+                    x = hashes[first[i - a] : first[i - a + 1]]
+                    if (us[i], chunks[i]) != key:
+                        key, mine, base = (us[i], chunks[i]), [], None
+                    if vs[i] is None:  # the document itself comes first
+                        mine.append(x.copy())
+                        continue
+                    ok = len(x) > 0 and any(len(y) > 0 and near(y, x, threshold) for y in mine)
+                    slack, rest = None, None
+                    if hots[i] and mine and len(x):
+                        base = numbered(mine[0]) if base is None else base
+                        rest = np.setdiff1d(numbered(x), base, assume_unique=True).view(np.int64)
+                        slack = allowed(len(x), threshold)
+                    if ok or rest is not None:
+                        out.append((us[i], vs[i], ok, slack, rest))
+            if out:
+                columns = [pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.list_(pa.int64())))]
+                yield pa.RecordBatch.from_arrays(columns, names=["u", "v", "ok", "slack", "rest"])
+
+    placed = sent.repartition("u", "chunk").sortWithinPartitions("u", "chunk", F.col("v").asc_nulls_first(), F.when(F.col("v").isNull(), F.col("__tf_text")))
+    return placed.mapInArrow(run, "u long, v long, ok boolean, slack long, rest array<long>")
 
 
 # -- components ----------------------------------------------------------------------------------------------------
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """id and root, the lowest id of its component, for every id that has an edge (u, v): alternating large and small stars (Kiveris et al. 2014)."""
+    """id and root, the lowest id of its component, for every id that has an edge (u, v): alternating large and small stars (Kiveris et al. 2014).
+
+    The lowest neighbours come from an aggregate that combines before the shuffle and are joined back, so a hub is no window of one task.
+    """
     e = materialize(edges.select("u", "v").where("u <> v"), "edges")
     before = None
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = F.least(F.min("v").over(Window.partitionBy("u")), F.col("u"))
-        large = both.withColumn("m", low).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        marked = down.withColumn("m", F.min("v").over(Window.partitionBy("u")))
-        small = marked.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(marked.select("u", F.col("m").alias("v"))).distinct()
-        e = materialize(small, "stars")
+        low = down.groupBy("u").agg(F.min("v").alias("m"))
+        small = down.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
+        last, e = e, materialize(small, "stars")
+        remove(last)
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before:
             return e.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("root"))
         before = now
 
 
-def lengths_allow(x: str, y: str, threshold: float):
+def lengths_allow(x: str, y: str, threshold: float) -> Column:
     longer = F.greatest(x, y)
     return longer - F.least(x, y) <= F.floor(longer * (1 - threshold) + 1e-9)
 
 
-def duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def bucket_edges(docs: DataFrame, rows: DataFrame, threshold: float, small: int) -> tuple[DataFrame, DataFrame | None]:
+    """The near pairs (u, v) of documents that share a key, up to what connects them already, and the next, smaller buckets where there are any.
+
+    `rows` holds distinct (key, id, n). Each bucket is compared with its lowest member. What that leaves in different
+    components is compared pair by pair in a bucket of up to `small` members. In a larger one two documents can only be
+    near if they share some of the words that the lowest member lacks: of these words each keeps the rarest, as many as
+    the threshold lets be missing and one, and two near documents have one of those in common. So these words make the next
+    buckets. Documents that differ from the lowest member in the order of words alone escape that and are compared with
+    all others of their kind.
+    """
+    pivots = rows.groupBy("key").agg(F.min(F.struct("id", "n")).alias("p"), F.count("*").alias("c")).where("c > 1")
+    members = materialize(rows.join(pivots, "key").select("key", "id", "n", F.col("p.id").alias("pivot"), F.col("p.n").alias("pn"), (F.col("c") > small).alias("hot")), "buckets")
+    star = members.where(F.col("id") != F.col("pivot")).where(F.col("hot") | lengths_allow("n", "pn", threshold))
+    star = materialize(star.groupBy(F.col("pivot").alias("u"), F.col("id").alias("v")).agg(F.max("hot").alias("hot"), F.max("n").alias("n")), "pairs")
+    seen = materialize(compared(docs, star, threshold), "compared")
+    edges = seen.where("ok").select("u", "v").distinct()
+    roots = components(edges)
+    comp = F.coalesce("root", "id").alias("comp")
+    labelled = members.join(roots, "id", "left").select("key", "id", "n", "pivot", "hot", comp)
+    mixed = labelled.where("not hot").groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+    rest = labelled.where("id <> pivot").join(mixed, "key", "left_semi")
+    other = rest.select("key", F.col("id").alias("v"), F.col("n").alias("nv"), F.col("comp").alias("cv"))
+    close = rest.join(other, "key").where("id < v and comp <> cv").where(lengths_allow("n", "nv", threshold)).select(F.col("id").alias("u"), "v")
+    hot = seen.where("rest is not null").withColumn("row", F.xxhash64("rest"))  # rows that share an id differ here
+    hot = hot.join(star.select("u", "v", "n"), ["u", "v"]).join(roots, F.col("v") == F.col("id"), "left").select("u", "v", "row", "n", "ok", "slack", "rest", F.coalesce("root", "v").alias("comp"))
+    further = None
+    if not seen.where("rest is not null").isEmpty():
+        hot = materialize(hot, "hot")
+        mixed = hot.groupBy("u").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("u")
+        hot = hot.join(mixed, "u", "left_semi")
+        turned = hot.where(F.size("rest") <= F.col("slack"))  # no more words of their own than may be missing
+        free = turned.where("not ok").select("u", F.col("v").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"))
+        free = free.join(turned, "u").where("a <> v and ca <> comp").where(lengths_allow("na", "n", threshold)).select(F.least("a", "v").alias("u"), F.greatest("a", "v").alias("v"))
+        own = hot.select("u", "v", "row", "n", "slack", "comp", F.explode("rest").alias("word"))
+        rarity = own.groupBy("u", "word").agg(F.count("*").alias("df"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+        place = F.row_number().over(Window.partitionBy("u", "v", "row").orderBy("df", "word"))  # of one document's words
+        kept = own.join(rarity, ["u", "word"]).withColumn("place", place).where("place <= slack + 1 and lo <> hi")
+        further = materialize(kept.select(F.xxhash64("u", "word").alias("key"), F.col("v").alias("id"), "n").distinct(), "split")
+        close = close.unionByName(free)
+        further = None if further.isEmpty() else further
+    close = materialize(close.distinct().withColumn("hot", F.lit(False)), "open")
+    if not close.isEmpty():
+        edges = edges.unionByName(compared(docs, close, threshold).where("ok").select("u", "v"))
+    return edges, further
+
+
+def duplicates(docs: DataFrame, threshold: float = THRESHOLD, small: int = SMALL) -> DataFrame:
     """(doc_id, duplicate_of): every document that does not stay, with the one of its group that does."""
+    docs = named(docs, "doc_id", "text")
     small_batches(docs.sparkSession)
     found = materialize(sketches_of(docs, threshold), "sketches")
     folded = found.groupBy("f1", "f2").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys"))
     copies = found.select("id", "f1", "f2").join(folded.select("f1", "f2", "rep"), ["f1", "f2"]).where("id <> rep").select(F.col("id").alias("v"), F.col("rep").alias("u"))
     # one exchange by key serves the distinct rows, the pivots and their join
     rows = folded.select(F.explode(F.array_distinct("keys")).alias("key"), F.col("rep").alias("id"), "n").repartition("key").distinct()
-    pivots = rows.groupBy("key").agg(F.min(F.struct("id", "n")).alias("p"), F.count("*").alias("c")).where("c > 1")
-    members = materialize(rows.join(pivots, "key").select("key", "id", "n", F.col("p.id").alias("pivot"), F.col("p.n").alias("pn")), "buckets")
-    star = members.where(F.col("id") != F.col("pivot")).where(lengths_allow("n", "pn", threshold)).select(F.col("pivot").alias("u"), F.col("id").alias("v")).distinct()
-    edges = materialize(verified(docs, star, threshold), "verified")
+    edges = copies.select("u", "v")
+    while rows is not None:
+        more, rows = bucket_edges(docs, rows, threshold, small)
+        edges = edges.unionByName(more)
     roots = components(edges)
-    # what a bucket's lowest member did not connect: all pairs that are still in different components
-    labelled = members.join(roots, "id", "left").select("key", "id", "n", "pivot", F.coalesce("root", "id").alias("comp"))
-    mixed = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    rest = labelled.where("id <> pivot").join(mixed, "key", "left_semi")
-    other = rest.select("key", F.col("id").alias("v"), F.col("n").alias("nv"), F.col("comp").alias("cv"))
-    open_pairs = rest.join(other, "key").where("id < v and comp <> cv").where(lengths_allow("n", "nv", threshold)).select(F.col("id").alias("u"), "v").distinct()
-    open_pairs = materialize(open_pairs, "open")
-    if not open_pairs.isEmpty():
-        edges = edges.unionByName(verified(docs, open_pairs, threshold))
-    roots = components(edges.unionByName(copies.select("u", "v")))
     return roots.where("id <> root").select(F.col("id").alias("doc_id"), F.col("root").alias("duplicate_of"))
 
 
 def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents with all their columns, one of each group."""
-    gone = duplicates(docs, threshold).select(F.col("doc_id").alias("__tf_gone"))
-    return docs.join(gone, docs["doc_id"] == F.col("__tf_gone"), "left_anti")
+    plain, back = neutral(docs)
+    gone = duplicates(plain.select(plain[back.of("doc_id")].alias("doc_id"), plain[back.of("text")].alias("text")), threshold).select(F.col("doc_id").alias("__tf_gone"))
+    return back.restore(plain.join(gone, plain[back.of("doc_id")].cast("long") == F.col("__tf_gone"), "left_anti"))

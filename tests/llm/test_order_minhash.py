@@ -1,4 +1,6 @@
 import random
+import time
+import tracemalloc
 
 import numpy as np
 from hypothesis import given, settings
@@ -115,3 +117,49 @@ def test_candidates_at_the_threshold():
             (a, bounds), (b, _) = om.keys_of(x.ravel(), first, om.THRESHOLD), om.keys_of(y.ravel(), first, om.THRESHOLD)
         hit = [len(np.intersect1d(a[p:q], b[p:q])) > 0 for p, q in zip(bounds[:-1], bounds[1:])]
         assert np.mean(hit) >= (1 if n <= om.SHORT else 0.96), (n, edits, np.mean(hit))
+
+
+def test_band_moves_over_long_sequences():
+    rng = random.Random(9)
+    a = bytes(rng.randrange(256) for _ in range(300_000))
+    b = b"x" + a[:-1] + b"yz"  # differences at both ends, so nothing can be set aside
+    began = time.perf_counter()
+    assert om.banded_distance(a, b, 4) == om.banded_distance(a, b, 2) == 3
+    assert time.perf_counter() - began < 10
+
+
+def test_wide_bands_stay_small():
+    rng = random.Random(10)
+    a = [rng.randrange(200 if i % 2 else 1 << 40) for i in range(12_000)]
+    b = [7, *a[:6000], 8, *a[6001:-1], 9]
+    tracemalloc.start()
+    assert om.banded_distance(a, b, 5000) == om.banded_distance(a, b, 100) == 3
+    assert tracemalloc.get_traced_memory()[1] < 100 << 20
+    tracemalloc.stop()
+
+
+def test_hot_buckets_equal_brute_force(make, vocabulary):
+    """Documents that share a head, of which some are near to each other but not to the first; few members count as many here."""
+    rng = random.Random(11)
+    head = [rng.choice(vocabulary) for _ in range(70)]
+    tails = [[rng.choice(vocabulary) + str(rng.randrange(9)) for _ in range(30)] for _ in range(60)]
+    rows = [head + t for t in tails]
+    rows += [head + edited(rng, t, 8, vocabulary) for t in tails[:20]]
+    rows += [head + t[::-1] for t in tails[20:24]]  # the same words, another order
+    near = [(i, j) for i in range(len(rows)) for j in range(i) if distance(rows[i], rows[j]) <= om.allowed(max(len(rows[i]), len(rows[j])), om.THRESHOLD)]
+    assert len(groups(near)) >= 20
+    found = {r.doc_id: r.duplicate_of for r in om.duplicates(make([(i, " ".join(t)) for i, t in enumerate(rows)]), small=8).collect()}
+    assert found == groups(near)
+
+
+def test_a_shared_head_makes_no_pairs(make):
+    rng = random.Random(12)
+    head = " ".join(f"h{i}" for i in range(140))
+    rows = [(i, head + " " + " ".join(f"t{rng.randrange(100_000)}" for _ in range(60))) for i in range(1500)]
+    rows.append((1500, rows[77][1] + " more"))
+    assert [(r.doc_id, r.duplicate_of) for r in om.duplicates(make(rows)).collect()] == [(1500, 77)]
+
+
+def test_names_with_dots_and_case(spark):
+    docs = spark.createDataFrame([(1, "a b c", 1, 2), (2, "a b c", 3, 4)], "doc_id long, text string, `a.b` long, u long")
+    assert [tuple(r) for r in om.drop_near_duplicates(docs).collect()] == [(1, "a b c", 1, 2)]
