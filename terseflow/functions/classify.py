@@ -67,8 +67,9 @@ def classification(path: Column, text: Column) -> Column:
     return F.coalesce(known, by_content(F.when(known.isNull(), text)))
 
 
-def is_sensitive_path(path: Column) -> Column:
-    parts = F.split(clean_path(path), "/")
+def is_sensitive_path(path: Column, backslashes: bool = False) -> Column:
+    """Whether a name or folder of the path is private. With `backslashes` these part names too, as in paths that tools of other systems report."""
+    parts = F.split(path, r"[/\\\\]+") if backslashes else F.split(clean_path(path), "/")
     return F.coalesce(F.element_at(parts, -1).isin(*SENSITIVE_NAMES) | F.arrays_overlap(parts, F.array(*[F.lit(x) for x in SENSITIVE_DIRS])), F.lit(False))
 
 

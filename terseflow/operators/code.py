@@ -22,6 +22,9 @@ LISTED_NAMES = 3
 _PAIRS = {"(": ")", "[": "]", "{": "}"}
 
 
+#: All that the scanner stops at; what lies between is plain.
+_SIGN = re.compile(f"[/\"'{TICK}()\\[\\]{{}}]")
+_REGEX = re.compile(r"/(?![*/])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\[\n])+/[a-z]*")
 _BEFORE_REGEX = re.compile(r"(?<![\w$.])(?:return|typeof|case|in|of|delete|void|throw|else|do|yield|await)\s*\Z")
 
 
@@ -37,6 +40,12 @@ class Source:
         stack: list[int] = []
         at, last = 0, ""
         while at < len(text):
+            sign = _SIGN.search(text, at)
+            plain = text[at : sign.start() if sign else len(text)].rstrip()
+            last = plain[-1] if plain else last
+            if not sign:
+                break
+            at = sign.start()
             c = text[at]
             end = at + 1
             if text.startswith("//", at):
@@ -61,7 +70,7 @@ class Source:
                 end = self._template(at)
                 self.skip[at] = end
                 last = c
-            elif c == "/" and not go and (not last or last in "(,=:[!&|?{};+-*%~^" or _BEFORE_REGEX.search(text, max(0, at - 12), at)) and (m := re.compile(r"/(?![*/])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\[\n])+/[a-z]*").match(text, at)):
+            elif c == "/" and not go and (not last or last in "(,=:[!&|?{};+-*%~^" or _BEFORE_REGEX.search(text, max(0, at - 12), at)) and (m := _REGEX.match(text, at)):
                 end = m.end()
                 self.skip[at] = end
                 last = "/"
@@ -73,7 +82,7 @@ class Source:
                     raise Doubt("unbalanced")
                 self.close[stack.pop()] = at
                 last = c
-            elif not c.isspace():
+            else:
                 last = c
             at = end
         if stack:

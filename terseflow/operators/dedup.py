@@ -35,10 +35,25 @@ def location() -> Column:
     return F.concat("path", F.lit(":"), F.col("line_no").cast("string"))
 
 
+def sentence_id() -> Column:
+    """128 bits of a sentence, to be shuffled in its place."""
+    return F.struct(F.xxhash64("normalized").alias("a"), F.xxhash64(F.lit(1), "normalized").alias("b"))
+
+
+def duplicate_places(found: DataFrame) -> DataFrame:
+    """(id, sentence, place) of every occurrence of sentences that occur twice or more, a row each; the sentence is the first raw form by path and line.
+
+    Sentences are counted before any of their places is moved, so those that occur once cost a counter.
+    """
+    marked = found.withColumn("id", sentence_id())
+    repeated = marked.groupBy("id").agg(F.count("*").alias("n"), F.min_by("raw", F.struct("path", "line_no")).alias("sentence")).where("n > 1")
+    return marked.select("id", location().alias("place")).join(repeated.drop("n"), "id")
+
+
 def exact_duplicates(found: DataFrame) -> DataFrame:
-    """(sentence, locations, similarity) of sentences that occur twice or more; the sentence is the first raw form by path and line."""
-    groups = found.groupBy("normalized").agg(F.count("*").alias("n"), F.min_by("raw", F.struct("path", "line_no")).alias("sentence"), F.array_sort(F.collect_list(location())).alias("locations"))
-    return groups.where("n > 1").select("sentence", "locations", F.lit(1.0).alias("similarity"))
+    """(sentence, locations, similarity) of sentences that occur twice or more. A sentence's places are one array here; duplicate_places() has them as rows."""
+    groups = duplicate_places(found).groupBy("id").agg(F.first("sentence").alias("sentence"), F.array_sort(F.collect_list("place")).alias("locations"))
+    return groups.select("sentence", "locations", F.lit(1.0).alias("similarity"))
 
 
 def distinct_sentences(found: DataFrame) -> DataFrame:
@@ -64,22 +79,21 @@ def near_pairs_band(found: DataFrame, threshold: float = THRESHOLD) -> DataFrame
 
 def near_pairs(found: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The same pairs by prefix filtering: two equi-joins on tokens, then exact similarity of the candidates."""
-    s = distinct_sentences(found).where(F.size("tokens") > 0)
-    tokens = s.select("normalized", "words", F.explode("tokens").alias("token"))
+    s = distinct_sentences(found).where(F.size("tokens") > 0).withColumn("id", sentence_id())
+    tokens = s.select("id", "words", F.explode("tokens").alias("token"))
     rarity = tokens.groupBy("token").agg(F.count("*").alias("df"))
-    ordered = tokens.join(rarity, "token").groupBy("normalized", "words").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("o"))
+    ordered = tokens.join(rarity, "token").groupBy("id", "words").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("o"))
     n = F.size("o")
     prefix = (n - F.ceil(F.lit(threshold) * n - F.lit(1e-9)) + 1).cast("int")
-    heads = ordered.select("normalized", "words", n.alias("n"), F.explode(F.slice("o", F.lit(1), F.least(prefix, n))).alias("t")).select("normalized", "words", "n", F.col("t.token").alias("token"))
-    a = heads.select(F.col("normalized").alias("left"), F.col("words").alias("wa"), F.col("n").alias("na"), "token")
-    b = heads.select(F.col("normalized").alias("right"), F.col("words").alias("wb"), F.col("n").alias("nb"), "token")
+    heads = ordered.select("id", "words", n.alias("n"), F.explode(F.slice("o", F.lit(1), F.least(prefix, n))).alias("t")).select("id", "words", "n", F.col("t.token").alias("token"))
+    a = heads.select(F.col("id").alias("x"), F.col("words").alias("wa"), F.col("n").alias("na"), "token")
+    b = heads.select(F.col("id").alias("y"), F.col("words").alias("wb"), F.col("n").alias("nb"), "token")
     fits = (F.abs(F.col("wa") - F.col("wb")) <= 1) & (F.least("na", "nb") >= F.lit(threshold) * F.greatest("na", "nb") - F.lit(1e-9))
-    candidates = a.join(b, "token").where("left < right").where(fits).select("left", "right").distinct()
-
-    def token_set(sentence: Column) -> Column:
-        return F.array_distinct(F.filter(F.split(sentence, " "), lambda w: w != ""))
-
-    scored = candidates.withColumn("similarity", jaccard(token_set(F.col("left")), token_set(F.col("right"))))
+    candidates = a.join(b, "token").where("x < y").where(fits).select("x", "y").distinct()
+    # the sentences themselves come in once, at the end
+    texts = s.select("id", "normalized", "tokens")
+    both = candidates.join(texts.toDF("x", "p", "tp"), "x").join(texts.toDF("y", "q", "tq"), "y")
+    scored = both.select(F.least("p", "q").alias("left"), F.greatest("p", "q").alias("right"), jaccard(F.col("tp"), F.col("tq")).alias("similarity"))
     return scored.where(F.col("similarity") >= threshold)
 
 

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 SIZES = ("bytes", "words", "tokens")
@@ -46,9 +47,15 @@ def command_insights(runs: DataFrame) -> DataFrame:
     return rows.withColumn("success_rate", percent(F.col("successful"), F.col("runs"))).orderBy(F.desc("runs"), F.desc("tokens_saved"), "command")
 
 
+def utc_month(frame: DataFrame, at: str) -> Column:
+    """The calendar month of an instant in UTC, whatever the session's time zone; dates and times without a zone are taken as they are."""
+    instant = F.to_utc_timestamp(at, F.current_timezone()) if isinstance(frame.schema[at].dataType, T.TimestampType) else F.col(at)
+    return F.date_format(instant, "yyyy-MM")
+
+
 def monthly_trend(runs: DataFrame) -> DataFrame:
-    """Savings by calendar month of the start, in the session's time zone (UTC in this library's sessions)."""
-    return runs.groupBy(F.date_format("started_at", "yyyy-MM").alias("month")).agg(*_saved_sums()).orderBy("month")
+    """Savings by calendar month of the start, in UTC."""
+    return runs.groupBy(utc_month(runs, "started_at").alias("month")).agg(*_saved_sums()).orderBy("month")
 
 
 def trend_display(trend: DataFrame) -> DataFrame:

@@ -83,7 +83,19 @@ def measure_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", metrics.bytes_of(text).alias("n_bytes"), metrics.word_count(text).alias("n_words"))
 
 
-@query()
+#: The approximation of tokens over text parts: words, numbers of up to three digits, signs, white space.
+_BLANKS = r"\s\x0B\x1C-\x1F\x{85}\p{Z}"
+_PIECES = rf"(?i)'(?:[sdmt]|ll|ve|re)|[\p{{L}}\p{{Nl}}\p{{No}}]+|\p{{Nd}}{{1,3}}|[^\p{{L}}\p{{N}}_{_BLANKS}]+|[{_BLANKS}]+"
+
+
+def tokens_sql(text: str) -> str:
+    return (
+        f"coalesce(list_sum(list_transform(regexp_extract_all({text}, {quoted(_PIECES)}), lambda p: CASE WHEN regexp_full_match(p, {quoted(f'[{_BLANKS}]+')}) THEN contains(p, chr(10))::BIGINT "
+        rf"WHEN regexp_matches(p, '^[\p{{L}}\p{{Nl}}\p{{No}}]') THEN 1 + greatest(0, strlen(p) - 2) // 6 WHEN regexp_matches(p, '^\p{{Nd}}') THEN 1 ELSE (strlen(p) + 2) // 3 END)), 0)::BIGINT"
+    )
+
+
+@query(f"SELECT doc_id, CASE WHEN text IS NOT NULL THEN {tokens_sql('text')} END AS n_tokens, 'approximate' AS backend FROM documents")
 def token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", metrics.token_counts(F.col("text")).alias("n_tokens"), F.lit(metrics.token_backend()).alias("backend"))
 
@@ -133,6 +145,13 @@ def sensitive_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files(spark, sf_dir).select("o_orderkey", classify.is_sensitive_path(F.col("path")).alias("sensitive"))
 
 
+@query(r"SELECT o_orderkey, len(list_filter(regexp_split_to_array(path, '[/\\]'), lambda x: x IN ('.ssh', '.aws', '.gnupg', '.kube'))) > 0 OR regexp_matches(path, '(^|[/\\])(\.env|\.env\.local|id_rsa|id_ed25519|credentials|known_hosts|authorized_keys)$') AS sensitive FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'C:\' || replace(path, '/', '\') ELSE path END AS path FROM " + _FILES + ")")
+def sensitive_tool_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths as tools report them: both kinds of slashes part names."""
+    path = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("C:\\"), F.replace("path", F.lit("/"), F.lit("\\")))).otherwise(F.col("path"))
+    return files(spark, sf_dir).select("o_orderkey", classify.is_sensitive_path(path, backslashes=True).alias("sensitive"))
+
+
 @query("SELECT doc_id, strlen(text) >= 10240 AND strlen(text) - strlen(replace(text, ' ', '')) >= 200 AS large FROM documents")
 def large_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blanks stand for newlines, of which the table has few."""
@@ -425,15 +444,62 @@ def upkeep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string"), F.lit(".md")).alias("path"), F.concat(F.lit("Please note that "), F.lower("c_name"), F.lit(" is able to buy in order to sell "), F.lower("c_mktsegment")).alias("content"))
 
 
-@query("SELECT count(*) AS scanned, count(*) AS changed, count(*) * 33::BIGINT AS bytes_saved FROM customer")
+#: The whole cascade on prose of one line that holds nothing but words.
+_CASCADE = reduce(lambda x, r: f"regexp_replace({x}, {quoted(r.re2)}, {quoted(r.replacement)}, 'g')", [r for rules in PHASES.values() for r in rules], "content")
+_UPKEEP = f"""(SELECT path, content, replace(regexp_replace(regexp_replace({_CASCADE}, '[ \t]{{2,}}', ' ', 'g'), '[\t\f\r ]+([.,;:!?])', '\1', 'g'), 'ensure to', 'ensure') AS output
+  FROM (SELECT 'c' || c_custkey || '.md' AS path, 'Please note that ' || lower(c_name) || ' is able to buy in order to sell ' || lower(c_mktsegment) AS content FROM customer))"""
+_SAID = f"""(SELECT path, content, output, output <> content AS changed, strlen(content) - strlen(output) AS bytes, {tokens_sql('content')} - {tokens_sql('output')} AS tokens FROM {_UPKEEP})"""
+
+
+@query(f"SELECT path, output, changed, strlen(content)::BIGINT AS inputBytes, strlen(output)::BIGINT AS outputBytes, {tokens_sql('content')} AS inputApproxTokens, {tokens_sql('output')} AS outputApproxTokens FROM (SELECT *, output <> content AS changed FROM {_UPKEEP})")
+def compress_prose(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The compress command on documents without markup; compress_full takes marked up ones, which SQL can't parse (tests: the golden texts)."""
+    done = prose.compress(upkeep(spark, sf_dir))
+    return done.select("path", "output", "changed", *[f"stats.{k}" for k in ("inputBytes", "outputBytes", "inputApproxTokens", "outputApproxTokens")])
+
+
+@query(f"SELECT count(*) AS scanned, count(*) FILTER (changed) AS changed, sum(bytes)::BIGINT AS bytes_saved, sum(tokens)::BIGINT AS tokens_saved, 'maintain: ' || count(*) || ' files scanned, ' || count(*) FILTER (changed) || ' changed, saved ' || sum(bytes)::BIGINT || ' bytes / ' || sum(tokens)::BIGINT || ' approx tokens' AS summary FROM {_SAID}")
 def maintain_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus.maintain(upkeep(spark, sf_dir))[2].select("scanned", "changed", "bytes_saved")
+    return corpus.maintain(upkeep(spark, sf_dir))[2]
 
 
-@query()
-def maintain_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query(f"SELECT path, 'natural_language' AS kind, changed, true AS valid, strlen(content)::BIGINT AS inputBytes, strlen(output)::BIGINT AS outputBytes FROM {_SAID}")
+def maintain_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, _, _ = corpus.maintain(upkeep(spark, sf_dir))
-    return documents.select("path", "kind", "changed", "report.valid", "stats.*")
+    return documents.select("path", "kind", "changed", "report.valid", "stats.inputBytes", "stats.outputBytes")
+
+
+def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prose of two lines from suppliers: one line is the same for all of a nation."""
+    s = F.col("s_nationkey")
+    first = F.concat(F.lit("Please note that the goods of nation "), F.translate(s.cast("string"), "0123456789", "abcdefghij"), F.lit(" are able to be sent in order to sell"))
+    return table(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string"), F.lit(".txt")).alias("path"), F.concat(first, F.lit("\n"), F.lower("s_name")).alias("content"))
+
+
+def _findings_sql(rewrite: bool) -> str:
+    rewritten = reduce(lambda x, r: f"regexp_replace({x}, {quoted(r.re2)}, {quoted(r.replacement)}, 'g')", [r for rules in PHASES.values() for r in rules], "content")
+    return rf"""
+WITH n AS (SELECT 's' || s_suppkey || '.txt' AS path, 'Please note that the goods of nation ' || translate(s_nationkey::VARCHAR, '0123456789', 'abcdefghij') || ' are able to be sent in order to sell' || chr(10) || lower(s_name) AS content FROM supplier),
+o AS (SELECT path, content, replace(regexp_replace(regexp_replace({rewritten}, '[ \t]{{2,}}', ' ', 'g'), '[\t\f\r ]+([.,;:!?])', '\1', 'g'), 'ensure to', 'ensure') AS output FROM n),
+s AS (SELECT path, u.i::BIGINT AS line_no, u.line AS raw, trim(regexp_replace(regexp_replace(lower(u.line), '[^\p{{L}}\p{{N}}\s]+', ' ', 'g'), '\s+', ' ', 'g')) AS normalized
+  FROM (SELECT path, string_split({'output' if rewrite else 'content'}, chr(10)) AS ls FROM o) d, LATERAL (SELECT unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS i) u),
+d AS (SELECT normalized, len(string_split(normalized, ' ')) AS n, list_distinct(string_split(normalized, ' ')) AS t FROM (SELECT DISTINCT normalized FROM s)),
+p AS (SELECT a.normalized AS l, b.normalized AS r, len(list_intersect(a.t, b.t)) / (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t)))::DOUBLE AS similarity FROM d a JOIN d b ON a.normalized < b.normalized AND b.n BETWEEN a.n - 1 AND a.n + 1),
+q AS (SELECT p.similarity, least((a.path, a.line_no, a.raw), (b.path, b.line_no, b.raw)) AS f, greatest((a.path, a.line_no, a.raw), (b.path, b.line_no, b.raw)) AS g FROM p JOIN s a ON a.normalized = p.l JOIN s b ON b.normalized = p.r WHERE p.similarity >= 0.6)
+SELECT 1 AS part, 'compressed ' || path || ': saved ' || (strlen(content) - strlen(output)) || ' bytes, ' || ({tokens_sql('content')} - {tokens_sql('output')}) || ' approx tokens' AS finding FROM o WHERE output <> content
+UNION ALL (SELECT 2, 'exact duplicate: "' || arg_min(raw, (path, line_no)) || '" in [' || array_to_string(list_sort(list(path || ':' || line_no)), ', ') || ']' FROM s GROUP BY normalized HAVING count(*) > 1)
+UNION ALL (SELECT 3, 'near duplicate (' || round(similarity * 100)::INT || '%): "' || f[3] || ' ~ ' || g[3] || '" in [' || f[1] || ':' || f[2] || ', ' || g[1] || ':' || g[2] || ']' FROM q)"""
+
+
+@query(_findings_sql(False))
+def maintain_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.maintain(notes(spark, sf_dir))[1].select("part", "finding")
+
+
+@query(_findings_sql(True))
+def maintain_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With rewriting, duplicates are sought in the compressed texts."""
+    return corpus.maintain(notes(spark, sf_dir), rewrite=True)[1].select("part", "finding")
 
 
 # -- runs ----------------------------------------------------------------------------------------------------------

@@ -33,7 +33,7 @@ class Rule:
     def compiled(self) -> re.Pattern[str]:
         return re.compile(self.java)
 
-    @property
+    @cached_property
     def literal(self) -> str:
         """Text that any match contains."""
         return self.phrase.split("]", 1)[-1]
@@ -150,12 +150,14 @@ PHASES: dict[str, list[Rule]] = {
 }
 
 
+_CASCADE = [(r.literal, r.compiled.sub, r.replacement) for rules in PHASES.values() for r in rules]
+
+
 def rewrite(text: str) -> str:
     """All phases on one prose string. Most rules are ruled out by a plain substring test."""
-    for rules in PHASES.values():
-        for rule in rules:
-            if rule.literal in text:
-                text = rule.compiled.sub(rule.replacement, text)
+    for literal, substitute, replacement in _CASCADE:
+        if literal in text:
+            text = substitute(replacement, text)
     return text
 
 

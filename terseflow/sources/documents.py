@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import shutil
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,11 +40,17 @@ RUN = T.StructType(
 EVENT = T.StructType([T.StructField("kind", T.StringType()), *RUN.fields[:-1], T.StructField("payloadStatus", T.StringType()), T.StructField("input", T.StringType()), T.StructField("result", RESULT), T.StructField("resultSummary", T.StringType())])
 
 
-def read_corpus(spark: SparkSession, root: str) -> DataFrame:
-    """(path, content) of every file below `root`, one row a file, without sensitive paths. Paths are those of the listing."""
+def read_corpus(spark: SparkSession, root: str, in_order: bool = False) -> DataFrame:
+    """(path, content) of every file below `root`, one row a file, without sensitive paths, be they so by name or by where their links lead.
+
+    Paths are those of the listing. `in_order` sorts by path, as a walk of the folders would; that is a shuffle.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    is_local = F.startswith("path", F.lit("file:"))
     local = F.regexp_replace("path", "^file:/*", "/")
-    return files.select(local.alias("path"), F.decode("content", "utf-8").alias("content")).where(~is_sensitive_path(F.col("path")))
+    linked = F.coalesce(_leads_to_sensitive(F.when(is_local, local)), F.lit(False))  # other file systems have no links
+    kept = files.where(~is_sensitive_path(local) & ~linked).select(local.alias("path"), F.decode("content", "utf-8").alias("content"))
+    return kept.orderBy("path") if in_order else kept
 
 
 def read_document(spark: SparkSession, path: str) -> DataFrame:
@@ -64,6 +71,11 @@ def is_sensitive_resolved(path: str) -> bool:
     return os.path.exists(path) and lexical(os.path.realpath(path))
 
 
+@F.pandas_udf(T.BooleanType())
+def _leads_to_sensitive(paths: pd.Series) -> pd.Series:
+    return paths.map(lambda p: None if p is None else is_sensitive_resolved(p)).astype("boolean")
+
+
 def write_with_backup(path: str, original: str, output: str) -> None:
     """The new text under `path`, the old one under its .bak; a reader sees one or the other. A failure leaves the old text."""
     backup, staged = f"{path}.bak", f"{path}.tmp"

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.window import Window
 
-from terseflow.operators.runs import RECENT_LIMIT, STALE_SECONDS
+from terseflow.operators.runs import RECENT_LIMIT, SIZES, STALE_SECONDS, saved, utc_month
 
 TRACKED = "id string, command string, status string, started_at timestamp, arrival long, success boolean"
 _STATE = "command string, status string, started_at timestamp, arrival long, success boolean"
@@ -68,7 +68,13 @@ def recent_table(path: str, limit: int = RECENT_LIMIT) -> Callable[[DataFrame, i
     return sink
 
 
-def monthly_counts(events: DataFrame, late: str = "1 hour") -> DataFrame:
-    """Finished runs by calendar month of a stream; a run's end counts once within the watermark."""
-    ended = events.where(F.col("kind") != "started").withWatermark("started_at", late).dropDuplicatesWithinWatermark(["id"])
-    return ended.groupBy(F.date_format("started_at", "yyyy-MM").alias("month")).agg(F.count("*").alias("runs"), F.count_if("success").alias("successful"))
+def monthly_counts(events: DataFrame, late: str | None = None) -> DataFrame:
+    """Ended runs and, where the events carry sizes, savings by calendar month (UTC) of a stream. A run's end counts once.
+
+    By default an end may come at any time; the state then keeps the id of every ended run. With `late` ids are kept for that
+    long alone: ends that come later still are lost.
+    """
+    ended = events.where(F.col("kind") != "started")
+    ended = ended.dropDuplicates(["id"]) if late is None else ended.withWatermark("started_at", late).dropDuplicatesWithinWatermark(["id"])
+    sums = [F.sum(saved(s)).alias(f"{s}_saved") for s in SIZES if {f"in_{s}", f"out_{s}"} <= set(events.columns)]
+    return ended.groupBy(utc_month(ended, "started_at").alias("month")).agg(F.count("*").alias("runs"), F.count_if("success").alias("successful"), *sums)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from terseflow.functions import classify, metrics, registry
 from terseflow.operators import code, corpus, dedup, history, markdown, prose, runs, validate
 from terseflow.plans import queries
-from terseflow.sources import documents
+from terseflow.sources import documents, observe
 from terseflow.streaming import tracker
 
 
@@ -179,6 +179,105 @@ def test_stream_equals_batch(spark, tmp_path):
     assert found == batch
 
 
+def test_months_are_those_of_utc(spark):
+    at = datetime(2026, 3, 31, 23, 30)
+    frame = spark.createDataFrame([("a", at, True, 60, 12, 9, 1, 20, 9)], "command string, started_at timestamp_ntz, success boolean, " + ", ".join(f"{a}_{b} long" for b in runs.SIZES for a in ("in", "out")))
+    instants = frame.withColumn("started_at", F.expr("timestamp '2026-03-31 23:30:00Z'"))
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for zone in ("UTC", "Asia/Tokyo", "America/New_York"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            assert runs.monthly_trend(frame).first().month == runs.monthly_trend(instants).first().month == "2026-03"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_monthly_sums_of_a_stream_keep_late_ends(spark, tmp_path):
+    t = datetime(2026, 5, 1)
+    rows = [("1", "finished", t, True, 50, 20), ("1", "finished", t, True, 50, 20), ("2", "started", t, True, 1, 1), ("3", "failed", t, False, 7, 7), ("4", "finished", t - timedelta(days=200), True, 9, 4)]
+    schema = "id string, kind string, started_at timestamp, success boolean, in_bytes long, out_bytes long"
+    for k, row in enumerate(rows):  # the oldest comes last
+        spark.createDataFrame([row], schema).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
+    query = tracker.monthly_counts(stream).writeStream.format("memory").queryName("months").outputMode("complete").trigger(availableNow=True).option("checkpointLocation", f"{tmp_path}/cp").start()
+    assert query.awaitTermination(120)
+    found = {r.month: (r.runs, r.successful, r.bytes_saved) for r in spark.table("months").collect()}
+    assert found == {"2026-05": (2, 1, 30), "2025-10": (1, 1, 5)}
+
+
+def test_tokens_by_ranks(spark):
+    ranks = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+    if not os.path.exists(ranks):
+        pytest.skip("no ranks file here")
+    texts = ["", "Hello, world!", "né 😀 tokenisation of 12345 words\n\n\tand tabs", None]
+    frame = spark.createDataFrame([(t,) for t in texts], "t string")
+    found = [r.n for r in frame.select(metrics.token_counts(F.col("t"), ranks).alias("n")).collect()]
+    one = metrics._encoder(ranks)
+    assert found == [None if t is None else len(one.encode_ordinary(t)) for t in texts] and found[0] == 0 and found[1] >= 3
+    assert one.decode(one.encode_ordinary(texts[2])) == texts[2]
+
+
+def test_links_and_order(spark, tmp_path):
+    (tmp_path / "d/.ssh").mkdir(parents=True)
+    (tmp_path / "d/.ssh/id_rsa").write_text("secret")
+    for name in ("b.md", "a.md", "c.md"):
+        (tmp_path / "d" / name).write_text(name)
+    (tmp_path / "d/innocent.md").symlink_to(tmp_path / "d/.ssh/id_rsa")
+    found = documents.read_corpus(spark, f"{tmp_path}/d", in_order=True).collect()
+    assert [os.path.basename(r.path) for r in found] == ["a.md", "b.md", "c.md"]
+
+
+def test_paths_of_tools(spark):
+    paths = {r"C:\u\.ssh\id": True, r"a\b\.env": True, "a/.aws\\x": True, r"C:\u\ssh": False, ".env": True, r"x\.env.txt": False}
+    frame = spark.createDataFrame([(p,) for p in paths], "p string")
+    assert {r.p: r.s for r in frame.select("p", classify.is_sensitive_path(F.col("p"), backslashes=True).alias("s")).collect()} == paths
+
+
+def test_observed_runs(spark, tmp_path):
+    (tmp_path / "in.md").write_text("text")
+    (tmp_path / "id_rsa").write_text("secret")
+    log = observe.RunLog(f"{tmp_path}/log")
+    done = observe.observe(log, "compress", lambda: observe.Outcome("out", True, {"inputBytes": 9, "outputBytes": 3}), [f"{tmp_path}/in.md", f"{tmp_path}/missing"], "test")
+    assert done.output == "out"
+    with pytest.raises(ValueError, match="broken"):
+        observe.observe(log, "dedup", lambda: (_ for _ in ()).throw(ValueError("broken")), [f"{tmp_path}/id_rsa"])
+    end = time.time() + 10
+    while time.time() < end and len(os.listdir(f"{tmp_path}/log/events")) < 4:
+        time.sleep(0.05)
+    events = spark.read.schema(documents.EVENT).json(f"{tmp_path}/log/events").orderBy("startedAt", F.col("kind").desc()).collect()
+    assert [(r.kind, r.command, r.payloadStatus) for r in events] == [("started", "compress", "observed"), ("finished", "compress", "observed"), ("started", "dedup", "redacted"), ("failed", "dedup", "redacted")]
+    assert events[1].input == f"=== {tmp_path}/in.md ===\ntext" and events[1].resultSummary == "changed=true, saved 6 bytes, 0 words, 0 approx tokens" and events[1].result.output == "out"
+    assert events[3].error == "broken" and not events[3].success and events[3].input is None
+    history = documents.read_history(spark, f"{tmp_path}/log/history").orderBy("startedAt").collect()
+    assert [(r.command, r.success) for r in history] == [("compress", True), ("dedup", False)] and history[0].stats.inputBytes == 9
+
+
+def test_a_log_that_fails_costs_nothing(tmp_path, monkeypatch):
+    (tmp_path / "file").write_text("in the way")
+    began = time.perf_counter()
+    assert observe.observe(observe.RunLog(f"{tmp_path}/file/log"), "x", lambda: observe.Outcome("kept")).output == "kept"
+    monkeypatch.setattr(observe.RunLog, "write", lambda *a: time.sleep(0.75))
+    assert observe.observe(observe.RunLog(str(tmp_path)), "x", lambda: observe.Outcome("kept")).output == "kept"
+    assert time.perf_counter() - began < 1
+    assert observe.input_payload([]) == ("", "none") and observe.input_payload(["", str(tmp_path)]) == ("", "unavailable")
+    assert observe.shortened("é" * 10, 3) == "é\n... [truncated 17 bytes] ..."
+
+
+def test_recent_runs_and_diagnostics(spark, tmp_path):
+    (tmp_path / "recent.json").write_text('[{"id": "1", "kind": "started"}, {"id": "2", "kind": "failed", "error": "e"}]')
+    assert [(r.id, r.kind, r.error) for r in documents.read_recent(spark, f"{tmp_path}/recent.json").orderBy("id").collect()] == [("1", "started", None), ("2", "failed", "e")]
+    for message in ("one", "two"):
+        documents.record_diagnostic(spark, f"{tmp_path}/diagnostics", message)
+    assert sorted(r.message for r in spark.read.json(f"{tmp_path}/diagnostics").collect()) == ["one", "two"]
+
+
+def test_details_and_payload_status(spark):
+    rows = [(0, False, True, None, None), (2, True, True, "", ""), (1, False, False, "out", None), (1, False, True, None, "e")]
+    frame = spark.createDataFrame(rows, "n int, bad boolean, ok boolean, output string, error string").withColumn("s", runs.payload_status(F.col("n"), F.col("bad"), F.col("ok")))
+    found = frame.select("s", runs.has_details(F.col("s"), F.col("output"), F.col("error")).alias("d")).collect()
+    assert [tuple(r) for r in found] == [("none", False), ("redacted", True), ("unavailable", True), ("observed", True)]
+
+
 def test_sql_names(spark):
     assert "compress_text" in registry.register(spark)
     assert spark.sql("select compress_text('Please go') as x").first().x == "go"
