@@ -1,16 +1,21 @@
-"""Approximate nearest neighbours of every row: an inverted file of coarse centroids with product-quantised residuals.
+"""Approximate nearest neighbours: an inverted file of coarse centroids with product-quantised residuals.
 
-Coarse centroids and the codebooks of the residuals come from Lloyd passes over all rows, summed on the executors in
-fixed-point numbers so that the order of the sums is no matter. Every row is a query: it goes to the partitions that
-hold its nearest lists, is compared with their members through asymmetric distance tables (query part by codeword, looked
-up by code), and the RERANK best of each partition get their exact distance. How many lists are probed is measured: the
-exact neighbours of a fixed number of queries are found over the whole table, and the fewest nearest lists that hold the
-share COVER of them are probed by all.
+There are as many lists as the square root of the rows. Coarse centroids and the codebooks of the residuals come from
+Lloyd passes over a sample of PER_LIST rows a list (those of lowest hash), summed on the executors in fixed point so that
+the order of the sums is no matter. Every row is indexed under its list. A query goes to the partitions that hold its
+nearest lists, is compared with the members of these lists alone through asymmetric distance tables (query part by
+codeword, looked up by code), and the RERANK best ids of each partition get their exact distance. How many lists are probed
+is measured: the exact neighbours of CALIBRATION queries are found over the whole table, and the fewest nearest lists that
+hold the share COVER of them are probed by all. That is a sample of queries, so tests and README state the recall reached.
+
+A list that holds much of the table is cut into cells of bounded size in several partitions. What is broadcast are the
+centroids: the square root of the rows times the dimension, 160 MB for 4e11 rows of 64 numbers (100 TB).
 
 Defined cases: a null id, a null embedding or one that holds a null, NaN or infinity, or is not of the most frequent
-length (of equally frequent ones the longest), is neither query nor neighbour; rows that share an id are one item, whose
-nearest row counts, and no neighbour of itself; equal distances are ranked by id; with fewer than `k` other items the
-list is shorter; an empty table gives no rows.
+length (of equally frequent ones the longest), is neither query nor neighbour; every finite float is allowed, as vectors
+are scaled by the largest number of the table; rows that share an id are one item, whose nearest row counts, and no
+neighbour of itself; equal distances are ranked by id; with fewer than `k` other items the list is shorter; repeated rows
+change nothing; an empty table gives no rows. Other columns are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from terseflow.llm.common import shuffle_parts
+from terseflow.llm.common import materialize, named, shuffle_parts
 
 NEIGHBOURS = 10
 COVER = 0.97
@@ -32,26 +37,35 @@ SUBSPACES = 16
 RERANK = 100
 ROUNDS = 4
 CALIBRATION = 256
-#: The centroids are broadcast; this bounds them (16 MB at 64 dimensions). Beyond 65536² rows the lists grow instead.
-MAX_LISTS = 65536
+#: Training rows for each list.
+PER_LIST = 64
+#: Members of a cell, at least; beyond a share of the table that grows with it, a list is cut into several.
+CELL = 4096
+#: Of all rows, those whose id is divisible by this are the queries of op4_ivf_pq.
+QUERY_EVERY = 100
 FIXED = float(1 << 24)
 
 
-def vectors(table: DataFrame, id_col: str, vec_col: str) -> tuple[DataFrame, int, int]:
-    """((id, x) of the usable rows, their number, their dimension)."""
-    x = F.col(vec_col).cast("array<float>")
-    good = F.col(id_col).isNotNull() & (F.size(x) > 0) & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
-    found = table.where(good).select(F.col(id_col).cast("long").alias("id"), x.alias("x"))
-    sizes = found.groupBy(F.size("x").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
+def vectors(table: DataFrame) -> tuple[DataFrame, int, int, float]:
+    """((id, x) of the usable rows, their number, their dimension, their largest number)."""
+    x = F.col("x").cast("array<float>")
+    good = F.col("id").isNotNull() & (F.size(x) > 0) & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+    found = table.where(good).select(F.col("id").cast("long").alias("id"), x.alias("x"))
+    largest = F.greatest(F.abs(F.array_max("x")), F.abs(F.array_min("x"))).cast("double")
+    sizes = found.groupBy(F.size("x").alias("d")).agg(F.count("*").alias("n"), F.max(largest).alias("m")).orderBy(F.desc("n"), F.desc("d")).first()
     if sizes is None:
-        return found, 0, 0
-    return found.where(F.size("x") == sizes["d"]), sizes["count"], sizes["d"]
+        return found, 0, 0, 1.0
+    return found.where(F.size("x") == sizes["d"]), sizes["n"], sizes["d"], sizes["m"] or 1.0
 
 
 def matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(-1, dim)
 
 
+def scaled(x: np.ndarray, scale: float) -> np.ndarray:
+    return (x / np.float64(scale)).astype(np.float32)
+
+
 def nearest(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
     out = np.empty(len(x), np.int64)
     half = (centers**2).sum(axis=1) / 2
@@ -61,7 +75,7 @@ def nearest(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
 
 
 def lowest(rows: DataFrame, n: int, seed: int, dim: int) -> np.ndarray:
-    """n rows of lowest seeded hash; n is bounded by MAX_LISTS, CODEWORDS or CALIBRATION."""
+    """n rows of lowest seeded hash; n is the number of lists, CODEWORDS or CALIBRATION."""
     found = rows.select("x", F.xxhash64("id", F.lit(seed)).alias("h"), "id").orderBy("h", "id").limit(n).select("x").toArrow()
     return matrix(found.column(0).combine_chunks(), dim) if len(found) else np.empty((0, dim), np.float32)
 
@@ -83,7 +97,7 @@ def tally(keys: np.ndarray, x: np.ndarray, cells: int) -> tuple[np.ndarray, np.n
     return n, sums
 
 
-def lloyd(rows: DataFrame, dim: int, centers: np.ndarray, coarse: np.ndarray | None, rounds: int) -> np.ndarray:
+def lloyd(rows: DataFrame, dim: int, scale: float, centers: np.ndarray, coarse: np.ndarray | None, rounds: int) -> np.ndarray:
     """`rounds` passes. centers: (lists, dim), or, with the coarse centroids of the residuals, (subspaces, codewords, dim / subspaces)."""
     spark = rows.sparkSession
     flat = centers if coarse is None else centers.reshape(-1, centers.shape[-1])
@@ -95,7 +109,7 @@ def lloyd(rows: DataFrame, dim: int, centers: np.ndarray, coarse: np.ndarray | N
             now, lists = shared.value
             n, sums = np.zeros(cells, np.int64), np.zeros((cells, width), np.int64)
             for batch in batches:
-                x = matrix(batch.column(1), dim)
+                x = scaled(matrix(batch.column(1), dim), scale)
                 if lists is None:
                     keys, values = nearest(x, now), x
                 else:
@@ -136,17 +150,17 @@ def ranked_lists(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
     return np.argsort((centers**2).sum(axis=1) - 2 * x @ centers.T, axis=1, kind="stable")
 
 
-def probes_needed(rows: DataFrame, dim: int, centers: np.ndarray, k: int, cover: float) -> int:
+def probes_needed(rows: DataFrame, dim: int, scale: float, centers: np.ndarray, k: int, cover: float) -> int:
     """How many nearest lists hold the share `cover` of the exact neighbours of CALIBRATION queries, found over all rows."""
     spark = rows.sparkSession
-    q = lowest(rows, CALIBRATION, 3, dim)
+    q = scaled(lowest(rows, CALIBRATION, 3, dim), scale)
     rank = np.argsort(ranked_lists(q, centers), axis=1)
     shared = spark.sparkContext.broadcast((q, rank.astype(np.int32), centers))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q, rank, centers = shared.value
         for batch in batches:
-            x = matrix(batch.column(1), dim)
+            x = scaled(matrix(batch.column(1), dim), scale)
             d = ((q**2).sum(axis=1)[:, None] - 2 * q @ x.T + (x**2).sum(axis=1)).astype(np.float64)
             own = nearest(x, centers)
             best = np.argsort(d, axis=1)[:, : k + 1]  # the query itself is among them
@@ -166,114 +180,183 @@ def subspaces_of(dim: int) -> int:
     return max(m for m in range(1, SUBSPACES + 1) if dim % m == 0)
 
 
-def neighbours(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k: int = NEIGHBOURS, cover: float = COVER) -> DataFrame:
-    """(vec_id, rank, neighbour_id, distance): the k nearest other items of each, by Euclidean distance."""
+def cells_of(counts: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first cell of each list and one more, partition of each cell). Cells of near lists stay together; partitions get equal shares of the rows."""
+    most = max(CELL, -(-int(counts.sum()) // (4 * parts)))
+    pieces = np.maximum(1, -(-counts // most))
+    first = np.concatenate([[0], np.cumsum(pieces)])
+    rows = np.repeat(counts / pieces, pieces)
+    before = np.cumsum(rows) - rows
+    return first, np.minimum(parts - 1, (before * parts / max(1.0, rows.sum())).astype(np.int32))
+
+
+def ranges(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The numbers of all the half-open ranges, one after the other."""
+    size = ends - starts
+    return np.repeat(starts - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+
+
+def leading(groups: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """Which elements are among the n lowest of their group, with all that equal the n-th."""
+    order = np.lexsort((values, groups))
+    g, v = groups[order], values[order]
+    begin = np.searchsorted(g, g)
+    last = np.minimum(begin + n - 1, np.searchsorted(g, g, "right") - 1)
+    keep = np.zeros(len(groups), bool)
+    keep[order] = v <= v[last]
+    return keep
+
+
+def neighbours(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k: int = NEIGHBOURS, cover: float = COVER, every: int = 1, probes: int | None = None) -> DataFrame:
+    """(vec_id, rank, neighbour_id, distance): of each row whose id is divisible by `every` the k nearest other items of all rows, by Euclidean distance.
+
+    `probes` sets the number of lists instead of the measured one.
+    """
     spark = table.sparkSession
-    rows, n, dim = vectors(table, id_col, vec_col)
+    rows, n, dim, scale = vectors(named(table, id_col, vec_col).toDF("id", "x"))
     schema = "vec_id long, rank int, neighbour_id long, distance double"
     if not n:
         return spark.createDataFrame([], schema)
-    lists = max(1, min(MAX_LISTS, round(n**0.5)))
-    coarse = in_order(lloyd(rows, dim, lowest(rows, lists, 1, dim), None, ROUNDS))
+    lists = max(1, round(n**0.5))
+    share = min(1.0, PER_LIST * max(lists, CODEWORDS) / n)
+    sample = materialize(rows.where(F.pmod(F.xxhash64("id", "x"), F.lit(1 << 30)) < int(share * (1 << 30))).distinct(), "sample")
+    coarse = in_order(lloyd(sample, dim, scale, scaled(lowest(sample, lists, 1, dim), scale), None, ROUNDS))
+    if not len(coarse):
+        coarse = scaled(lowest(rows, 1, 1, dim), scale)
     m = subspaces_of(dim)
-    seeds = lowest(rows, CODEWORDS, 2, dim)
+    seeds = scaled(lowest(sample, CODEWORDS, 2, dim), scale) if len(coarse) > 1 else coarse
     books = (seeds - coarse[nearest(seeds, coarse)]).reshape(len(seeds), m, -1).transpose(1, 0, 2).copy()
-    books = lloyd(rows, dim, books, coarse, ROUNDS)
-    probes = probes_needed(rows, dim, coarse, k, cover)
-    parts = shuffle_parts(spark)
-    home = (np.arange(len(coarse)) * parts // len(coarse)).astype(np.int32)  # the partition of each list
+    books = lloyd(sample, dim, scale, books, coarse, ROUNDS)
+    if probes is None:
+        probes = probes_needed(rows, dim, scale, coarse, k, cover)
     shared = spark.sparkContext.broadcast((coarse, books))
 
-    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coarse, books = shared.value
+        for batch in batches:
+            raw = matrix(batch.column(1), dim)
+            x = scaled(raw, scale)
+            own = nearest(x, coarse)
+            residual = (x - coarse[own]).reshape(len(x), m, -1)
+            codes = np.stack([nearest(residual[:, i], books[i]) for i in range(m)], axis=1).astype(np.uint8)
+            columns = [pa.array(own.astype(np.int32)), batch.column(0), pa.array([v.tobytes() for v in raw], pa.binary()), pa.array([c.tobytes() for c in codes], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["list", "id", "x", "extra"])
+
+    index = materialize(rows.mapInArrow(encode, "list int, id long, x binary, extra binary"), "index")
+    counts = np.zeros(len(coarse), np.int64)
+    for r in index.groupBy("list").count().collect():  # a row for each list
+        counts[r["list"]] = r["count"]
+    parts = shuffle_parts(spark)
+    first_cell, home = cells_of(counts, parts)
+    placed = spark.sparkContext.broadcast((first_cell, home))
 
-        def out(part: np.ndarray, kind: int, ids: np.ndarray, x: np.ndarray, extra: list[bytes]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays(
-                [pa.array(part.astype(np.int32)), pa.array(np.full(len(ids), kind, np.int32)), pa.array(ids), pa.array([v.tobytes() for v in x], pa.binary()), pa.array(extra, pa.binary())],
-                names=["part", "kind", "id", "x", "extra"],
-            )
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first_cell, home = placed.value
+        for batch in batches:
+            own, row = batch.column(0).to_numpy(), batch.column(4).to_numpy()
+            cell = (first_cell[own] + row % (first_cell[own + 1] - first_cell[own])).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(home[cell]), pa.array(cell), *batch.columns[1:4]], names=["part", "cell", "id", "x", "extra"])
 
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One row for each query and partition, with the cells it asks for there; a null cell tells queries from members and comes after them."""
+        coarse, (first_cell, home) = shared.value[0], placed.value
         for batch in batches:
-            all_ids, all_x = batch.column(0).to_numpy(), matrix(batch.column(1), dim)
-            for a in range(0, len(all_ids), 2048):
-                ids, x = all_ids[a : a + 2048], all_x[a : a + 2048]
-                own = nearest(x, coarse)
-                residual = (x - coarse[own]).reshape(len(x), m, -1)
-                codes = np.stack([nearest(residual[:, i], books[i]) for i in range(m)], axis=1).astype(np.uint8)
-                yield out(home[own], 0, ids, x, [int(c).to_bytes(4, "little") + r.tobytes() for c, r in zip(own, codes)])
-                probed = np.sort(ranked_lists(x, coarse)[:, :probes], axis=1).astype(np.int32)
-                for part in np.unique(home[probed]):
-                    a_list, b_list = np.searchsorted(home, [part, part + 1])
-                    low, high = (probed < a_list).sum(axis=1), (probed < b_list).sum(axis=1)
-                    who = np.flatnonzero(low < high)
-                    yield out(np.full(len(who), part), 1, ids[who], x[who], [probed[i, low[i] : high[i]].tobytes() for i in who])
+            ids, raw = batch.column(0).to_numpy(), matrix(batch.column(1), dim)
+            for a in range(0, len(ids), 1024):
+                nearest_lists = ranked_lists(scaled(raw[a : a + 1024], scale), coarse)[:, :probes]
+                for i, wanted in zip(range(a, a + len(nearest_lists)), nearest_lists):
+                    cells = np.sort(ranges(first_cell[wanted], first_cell[wanted + 1])).astype(np.int32)
+                    to, at = np.unique(home[cells], return_index=True)
+                    columns = [pa.array(to), pa.nulls(len(to), pa.int32()), pa.array(np.full(len(to), ids[i])), pa.array([raw[i].tobytes()] * len(to), pa.binary()), pa.array([c.tobytes() for c in np.split(cells, at[1:])], pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, names=["part", "cell", "id", "x", "extra"])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coarse, books = shared.value
-        members: list[tuple[np.ndarray, np.ndarray, bytes]] = []
-        held = None
+        first_cell, _ = placed.value
+        held: list[pa.RecordBatch] = []
+        ready = False
         for batch in batches:
-            kind = batch.column(1).to_numpy()
-            split = int(np.searchsorted(kind, 1))
-            ids = batch.column(2).to_numpy()
-            x = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.float32).reshape(-1, dim)
-            extra = batch.column(4).to_pylist()
+            split = batch.num_rows - batch.column(1).null_count
             if split:
-                members.append((ids[:split], x[:split], b"".join(extra[:split])))
-            if split == len(kind):
+                held.append(batch.slice(0, split))
+            if split == batch.num_rows:
                 continue
-            if held is None:  # members come before queries
-                if not members:
+            if not ready:  # members come before queries
+                if not held:
                     return
-                own_ids, own_x = np.concatenate([a for a, _, _ in members]), np.concatenate([b for _, b, _ in members])
-                packed = np.frombuffer(b"".join(c for _, _, c in members), np.uint8).reshape(-1, 4 + m)
-                members.clear()
-                own_list = packed[:, :4].copy().view(np.int32)[:, 0]
-                order = np.lexsort((own_ids, own_list))
-                again = (own_ids[order][1:] == own_ids[order][:-1]) & (own_x[order][1:] == own_x[order][:-1]).all(axis=1)
-                order = order[~np.concatenate([[False], again])]  # repeated rows count once
-                own_ids, own_x, own_list, codes = own_ids[order], own_x[order], own_list[order], packed[order, 4:]
-                there, starts = np.unique(own_list, return_index=True)
-                ends = np.append(starts[1:], len(own_list))
+                cell, ids = (np.concatenate([b.column(i).to_numpy() for b in held]) for i in (1, 2))
+                x = np.frombuffer(b"".join(v.as_buffer() for b in held for v in b.column(3)), np.float32).reshape(-1, dim)
+                codes = np.frombuffer(b"".join(v.as_buffer() for b in held for v in b.column(4)), np.uint8).reshape(-1, m)
+                held.clear()
+                order = np.lexsort((ids, cell))
+                cell, ids, x, codes = cell[order], ids[order], x[order], codes[order]
+                own_list = np.searchsorted(first_cell, cell, "right") - 1
                 # what the distance table adds for a member whatever the query is: 2 c·w + w·w by subspace
-                c_parts = coarse[own_list].reshape(len(own_list), m, -1)
+                centers = coarse[own_list].reshape(len(own_list), m, -1)
                 fixed = np.zeros(len(own_list), np.float32)
                 for i in range(m):
                     w = books[i][codes[:, i]]
-                    fixed += 2 * (c_parts[:, i] * w).sum(axis=1) + (w**2).sum(axis=1)
-                held = True
-            step = max(16, min(512, (1 << 24) // len(own_ids)))
-            for a in range(split, len(kind), step):
-                q, q_ids, asks = x[a : a + step], ids[a : a + step], extra[a : a + step]
-                count = np.array([len(e) // 4 for e in asks])
-                asked = np.frombuffer(b"".join(asks), np.int32)
-                asker = np.repeat(np.arange(len(q)), count)
+                    fixed += 2 * (centers[:, i] * w).sum(axis=1) + (w**2).sum(axis=1)
+                del centers
+                there, starts = np.unique(cell, return_index=True)
+                ends = np.append(starts[1:], len(cell))
+                step = max(1, min(256, (1 << 22) // int((ends - starts).max())))
+                ready = True
+            queries = batch.slice(split)
+            all_ids = queries.column(2).to_numpy()
+            all_x = np.frombuffer(b"".join(v.as_buffer() for v in queries.column(3)), np.float32).reshape(-1, dim)
+            all_cells = [np.frombuffer(v.as_buffer(), np.int32) for v in queries.column(4)]
+            for a in range(0, len(all_ids), step):
+                q_ids, raw = all_ids[a : a + step], all_x[a : a + step]
+                q, asks = scaled(raw, scale), all_cells[a : a + step]
+                asked, asker = np.concatenate(asks), np.repeat(np.arange(len(q)), [len(c) for c in asks])
                 by = np.argsort(asked, kind="stable")
                 asked, asker = asked[by], asker[by]
                 tables = np.stack([-2 * books[i] @ q.reshape(len(q), m, -1)[:, i].T for i in range(m)])  # subspace, codeword, query
-                adc = np.full((len(own_ids), len(q)), np.inf, np.float32)
-                to_coarse = (q**2).sum(axis=1)[:, None] - 2 * q @ coarse[there].T + (coarse[there] ** 2).sum(axis=1)
-                for j, (lst, b, e) in enumerate(zip(there, starts, ends)):
-                    who = asker[np.searchsorted(asked, lst) : np.searchsorted(asked, lst, "right")]
-                    if not len(who):
+                found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+                for c in np.unique(asked):
+                    j = int(np.searchsorted(there, c))
+                    if j == len(there) or there[j] != c:
                         continue
-                    table = tables if len(who) == len(q) else tables[:, :, who]
-                    total = np.zeros((e - b, len(who)), np.float32)
+                    b, e = starts[j], ends[j]
+                    who = asker[np.searchsorted(asked, c) : np.searchsorted(asked, c, "right")]
+                    center = coarse[own_list[b]]
+                    adc = np.repeat(fixed[b:e, None], len(who), axis=1) + ((q[who] - center) ** 2).sum(axis=1)
                     for i in range(m):
-                        total += table[i][codes[b:e, i]]
-                    adc[b:e, who] = total + fixed[b:e, None] + to_coarse[who, j]
-                adc[own_ids[:, None] == q_ids[None, :]] = np.inf
-                best = np.argpartition(adc.T, min(RERANK, len(own_ids)) - 1, axis=1)[:, :RERANK] if len(own_ids) > RERANK else np.tile(np.arange(len(own_ids)), (len(q), 1))
-                fine = np.isfinite(np.take_along_axis(adc.T, best, axis=1))
-                exact = np.sqrt(((own_x[best].astype(np.float64) - q[:, None, :]) ** 2).sum(axis=2))
-                exact[~fine] = np.inf
-                rank = np.lexsort((own_ids[best], exact), axis=1)[:, : k + 1]
-                d = np.take_along_axis(exact, rank, axis=1)
-                v = own_ids[np.take_along_axis(best, rank, axis=1)]
-                ok = np.isfinite(d)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, ok.sum(axis=1))), pa.array(v[ok]), pa.array(d[ok])], names=["q", "v", "d"])
-
-    sent = rows.mapInArrow(index, "part int, kind int, id long, x binary, extra binary").repartitionById(parts, F.col("part")).sortWithinPartitions("kind")
+                        adc += tables[i][:, who][codes[b:e, i]]
+                    adc[ids[b:e, None] == q_ids[who]] = np.inf
+                    lead = np.flatnonzero(np.concatenate([[True], ids[b + 1 : e] != ids[b : e - 1]]))  # rows of an id are neighbours
+                    bound = np.minimum.reduceat(adc, lead, axis=0)
+                    keep = np.isfinite(adc)
+                    if len(bound) > RERANK:
+                        keep &= adc <= np.partition(bound, RERANK - 1, axis=0)[RERANK - 1]
+                    i, w = np.nonzero(keep)
+                    found.append((who[w], b + i, adc[i, w]))
+                if not found:
+                    continue
+                who, at, d = (np.concatenate(c) for c in zip(*found))
+                if not len(who):
+                    continue
+                # the RERANK best ids of each query, by their nearest rows; ties stay
+                order = np.lexsort((d, ids[at], who))
+                who, at, d = who[order], at[order], d[order]
+                lead = np.concatenate([[True], (who[1:] != who[:-1]) | (ids[at[1:]] != ids[at[:-1]])])
+                number = np.cumsum(lead) - 1
+                best = leading(who[lead], d[lead], RERANK)[number]
+                who, at = who[best], at[best]
+                exact = np.sqrt(((x[at].astype(np.float64) - raw[who]) ** 2).sum(axis=1))
+                order = np.lexsort((exact, ids[at], who))
+                who, v, exact = who[order], ids[at[order]], exact[order]
+                lead = np.concatenate([[True], (who[1:] != who[:-1]) | (v[1:] != v[:-1])])
+                who, v, exact = who[lead], v[lead], exact[lead]
+                order = np.lexsort((v, exact, who))
+                order = order[np.arange(len(order)) - np.searchsorted(who[order], who[order]) < k]
+                yield pa.RecordBatch.from_arrays([pa.array(q_ids[who[order]]), pa.array(v[order]), pa.array(exact[order])], names=["q", "v", "d"])
+
+    layout = "part int, cell int, id long, x binary, extra binary"
+    members = index.withColumn("row", F.monotonically_increasing_id()).mapInArrow(place, layout)
+    queries = rows.where(F.col("id") % every == 0).distinct().mapInArrow(ask, layout)
+    sent = members.unionByName(queries).repartitionById(parts, F.col("part")).sortWithinPartitions(F.col("cell").asc_nulls_last())
     found = sent.mapInArrow(search, "q long, v long, d double").groupBy("q", "v").agg(F.min("d").alias("d"))
-    place: Column = F.row_number().over(Window.partitionBy("q").orderBy("d", "v"))
-    return found.withColumn("rank", place).where(F.col("rank") <= k).select(F.col("q").alias("vec_id"), "rank", F.col("v").alias("neighbour_id"), F.col("d").alias("distance"))
+    place_of: Column = F.row_number().over(Window.partitionBy("q").orderBy("d", "v"))  # at most k of each partition
+    return found.withColumn("rank", place_of).where(F.col("rank") <= k).select(F.col("q").alias("vec_id"), "rank", F.col("v").alias("neighbour_id"), F.col("d").alias("distance"))

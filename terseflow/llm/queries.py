@@ -29,7 +29,8 @@ def op3_media_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_ivf_pq(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ivf_pq.neighbours(table(spark, sf_dir, "embeddings"))
+    """The rows whose id is divisible by QUERY_EVERY against all rows."""
+    return ivf_pq.neighbours(table(spark, sf_dir, "embeddings"), every=ivf_pq.QUERY_EVERY)
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,3 +32,35 @@ def test_edge_cases(spark):
     assert ivf_pq.neighbours(spark.createDataFrame([], SCHEMA)).count() == 0
     one = spark.createDataFrame([(1, [1.0, 2.0], 0)], SCHEMA)
     assert ivf_pq.neighbours(one).count() == 0
+
+
+def test_queries_by_id_and_clashing_columns(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=4).tolist(), 0, i) for i in range(300)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, id int, `x.y` long")
+    found = ivf_pq.neighbours(table, every=100).collect()
+    assert {r.vec_id for r in found} == {0, 100, 200} and len(found) == 30
+
+
+def test_any_finite_vector(spark):
+    rows = [(1, [1e12, 0.0], 0), (2, [1e12, 1e9], 0), (3, [-3e38, 3e38], 0), (4, [1e-20, 0.0], 0), (5, [0.0, 0.0], 0)]
+    nearest = {r.vec_id: r.neighbour_id for r in ivf_pq.neighbours(spark.createDataFrame(rows, SCHEMA), k=1).collect()}
+    assert (nearest[1], nearest[2], nearest[5]) == (2, 1, 4)
+
+
+def test_ties_and_repeated_ids(spark):
+    """Many equal vectors and an id of many rows take no place from others; more lists than one, all of them probed."""
+    rng = np.random.default_rng(5)
+    rows = [(i, [1.0, 1.0, 0.0, 0.0], 0) for i in range(200, 0, -1)]
+    rows += [(1000, [1.0, 1.0, 0.0, float(v)], 0) for v in rng.uniform(0.1, 0.2, 300)]
+    rows += [(1001, [1.0, 1.0, 0.5, 0.0], 0)] + [(2000 + i, rng.normal(5, 1, 4).tolist(), 0) for i in range(200)]
+    found = {}
+    for r in ivf_pq.neighbours(spark.createDataFrame(rows, SCHEMA), k=201, probes=10**6).where("vec_id in (7, 1001)").orderBy("vec_id", "rank").collect():
+        found.setdefault(r.vec_id, []).append(r.neighbour_id)
+    assert found[7] == [i for i in range(1, 201) if i != 7] + [1000, 1001]
+    assert set(found[1001][:201]) == {*range(1, 201), 1000}
+
+
+def test_a_list_that_holds_half_of_all_rows_is_cut():
+    first, home = ivf_pq.cells_of(np.array([10, 500_000, 10, 250_000, 250_000]), 8)
+    assert first[2] - first[1] >= 8 and len(home) == first[-1] and set(home) == set(range(8)) and (np.diff(home) >= 0).all()
