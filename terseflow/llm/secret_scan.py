@@ -1,28 +1,33 @@
 """Secrets in texts by a battery of randomness tests.
 
-Candidates are runs of at least MIN_LENGTH credential characters. The encoding is inferred from the characters: hex,
-base36 (one case with digits), letters (one case without), base64 or base64url. A candidate counts as random if three
-tests in the alphabet of its encoding do not reject that at level RANDOM_LEVEL together (Sidak): chi-squared uniformity, the runs test above
-and below the middle of the alphabet, and lag-one serial correlation.
-
-That alone would let short words pass, in which the tests have no power. So a candidate's character counts are also held
-against ordinary text (all documents, candidates aside, within the alphabet; letters of both cases count for an alphabet
-of one): the likelihood ratio L of uniform to ordinary characters gives 1 / L as a p-value of 'ordinary', which is valid
-at any length (Markov's inequality) and falls with the length. Benjamini-Hochberg at level FDR decides within each class
-of encoding and length (powers of sqrt 2), over the candidates of all documents. p-values are rounded up to hundredths of
-a decade for this, so the step-up needs only counts.
-
-Defined cases: null and empty texts have no candidates; runs of digits alone are numbers, not credentials; hyphens and
-padding are set aside before the tests (so UUIDs are hex); a run next to another letter or digit of any script is part
-of a word; a null doc_id is kept; repeated rows report alike. Texts are read whole; the secret itself is not
-in the result, only its place and hash. An empty table gives no rows. Where there is no ordinary text at all, nothing can
-be told from it, so nothing is reported.
+Candidates are all runs of credential characters, of any length. The encoding is inferred from the characters: decimal,
+hex, letters (one case), base36 (one case with digits), base64 or base64url. A candidate counts as random if three tests
+in the alphabet of its encoding do not reject that at level RANDOM_LEVEL together (Sidak): chi-squared uniformity, the
+runs test above and below the middle of the alphabet, and lag-one serial correlation.
+
+That alone would let short words pass, in which the tests have no power. So a candidate is also held against ordinary
+text: the frequencies of letters (of either case), digits and signs and, in encodings that mix classes of characters, how
+often these follow each other there, counted over all documents in runs of fewer than ORDINARY characters. So neither
+capitals nor numbers nor words with a digit behind are less ordinary than others. The likelihood ratio L of uniform to ordinary
+gives 1 / L as a p-value of 'ordinary', which is valid at any length (Markov's inequality) and falls with the length: no
+word is too short to be looked at, but few can be random enough. Benjamini-Hochberg at level FDR decides within each
+class of encoding and length (powers of sqrt 2), over the candidates of all documents. p-values are rounded up to
+hundredths of a decade for this, so the step-up needs only counts.
+
+The texts are read three times, without any shuffle of them: for the chain, for the counts of p-values, and for the
+secrets. What is broadcast are the chain and the cuts, of fixed size.
+
+Defined cases: null and empty texts have no candidates; signs alone are none; hyphens and padding are set aside before
+the tests (so UUIDs are hex), but in base64url a hyphen is a character; a run next to another letter or digit of any
+script is part of a word; a null doc_id is kept; repeated rows report alike; columns besides doc_id and text are not
+looked at, whatever their names. Texts are read whole; the secret itself is not in the result, only its place and hash.
+An empty table gives no rows. Where there is no ordinary text at all, nothing can be told from it, so nothing is reported.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -32,60 +37,164 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from terseflow.llm.common import materialize
+from terseflow.llm.common import named, small_batches
 
-MIN_LENGTH = 16
 RANDOM_LEVEL = 0.001
 FDR = 0.05
+#: Runs of fewer characters are what ordinary text is counted on.
+ORDINARY = 16
+#: Characters handled at once; a longer text is never cut, it is handled alone.
+CHARS_AT_ONCE = 1 << 20
+LAST_BIN = 30_000
 
-_RUN = re.compile(r"(?<![\w+/-])[A-Za-z0-9+/_-]{%d,}" % MIN_LENGTH)
 _DIGITS, _UPPER, _LOWER = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ALPHABETS = {
+    "decimal": _DIGITS,
     "hex": _DIGITS + "abcdef",
     "HEX": _DIGITS + "ABCDEF",
-    "base36": _DIGITS + _LOWER,
-    "BASE36": _DIGITS + _UPPER,
     "letters": _LOWER,
     "LETTERS": _UPPER,
+    "base36": _DIGITS + _LOWER,
+    "BASE36": _DIGITS + _UPPER,
     "base64": _UPPER + _LOWER + _DIGITS + "+/",
     "base64url": _UPPER + _LOWER + _DIGITS + "-_",
 }
+NAMES = list(ALPHABETS)
+#: How many classes of characters each has.
+_CLASSES_OF = np.array([1, 2, 2, 1, 1, 2, 2, 4, 4])
+_SIZES = np.array([len(a) for a in ALPHABETS.values()])
 _RANK = {}
 for _name, _letters in ALPHABETS.items():
-    _RANK[_name] = np.full(256, -1, np.int16)
+    _RANK[_name] = np.full(128, -1, np.int16)
     _RANK[_name][list(_letters.encode())] = np.arange(len(_letters))
-_SETS = {k: frozenset(v) for k, v in ALPHABETS.items()}
-
-
-def runs(text: str) -> Iterator[tuple[int, str]]:
-    """(place, candidate with its padding) of all runs that no letter or digit follows."""
-    for m in _RUN.finditer(text):
-        end = m.end()
-        while end < m.end() + 2 and text[end : end + 1] == "=":
-            end += 1
-        after = text[end : end + 1]
-        if not (after.isalnum() or after == "_"):
-            yield m.start(), text[m.start() : end]
-
-
-def encoding_of(token: str) -> tuple[str, str] | None:
-    """(encoding, the characters that are tested); None for what holds no credential."""
-    body = token.rstrip("=")
-    plain = body.replace("-", "")
-    seen = set(plain)
-    if len(plain) >= MIN_LENGTH:
-        if seen <= set(_DIGITS):
-            return None
-        for name in ("hex", "HEX"):
-            if seen <= _SETS[name] and not seen.isdisjoint(_DIGITS):
-                return name, plain
-        for name in ("letters", "LETTERS", "base36", "BASE36"):
-            if seen <= _SETS[name]:
-                return name, plain
-    for name in ("base64", "base64url"):
-        if set(body) <= _SETS[name] and len(body) >= MIN_LENGTH:
-            return name, body
-    return None
+
+#: Bits of a character; the first eight make a candidate.
+DIGIT, LOW_HEX, LOW, UP_HEX, UP, SIGN, DASH, UNDER, PAD, WORD = (1 << i for i in range(10))
+CANDIDATE, ALNUM = 255, DIGIT | LOW_HEX | LOW | UP_HEX | UP
+_BITS = np.zeros(129, np.int16)
+for _chars, _bit in ((_DIGITS, DIGIT), ("abcdef", LOW_HEX), (_LOWER[6:], LOW), ("ABCDEF", UP_HEX), (_UPPER[6:], UP), ("+/", SIGN), ("-", DASH), ("_", UNDER), ("=", PAD)):
+    _BITS[list(_chars.encode())] = _bit
+#: Classes of the chain: 0 the start of a run, 1 lower, 2 upper, 3 digit, 4 sign.
+_CLASS = np.zeros(129, np.int8)
+for _chars, _class in ((_LOWER, 1), (_UPPER, 2), (_DIGITS, 3), ("+/-_", 4)):
+    _CLASS[list(_chars.encode())] = _class
+_FOLDED = np.arange(128)
+_FOLDED[list(_UPPER.encode())] = list(_LOWER.encode())
+CLASSES = 5
+
+
+def infer(bits: np.ndarray) -> np.ndarray:
+    """The number of the encoding in NAMES by the union of a run's character bits; -1 for none."""
+    digit, low, up = bits & DIGIT != 0, bits & (LOW_HEX | LOW) != 0, bits & (UP_HEX | UP) != 0
+    out = np.full(len(bits), -1)
+    out[bits & SIGN == 0] = NAMES.index("base64url")
+    out[bits & (DASH | UNDER) == 0] = NAMES.index("base64")
+    plain = bits & (SIGN | UNDER) == 0
+    out[plain & low & ~up] = NAMES.index("letters")
+    out[plain & up & ~low] = NAMES.index("LETTERS")
+    out[plain & low & ~up & digit] = NAMES.index("base36")
+    out[plain & up & ~low & digit] = NAMES.index("BASE36")
+    out[plain & digit & low & ~up & (bits & LOW == 0)] = NAMES.index("hex")
+    out[plain & digit & up & ~low & (bits & UP == 0)] = NAMES.index("HEX")
+    out[plain & digit & ~low & ~up] = NAMES.index("decimal")
+    out[bits & ALNUM == 0] = -1
+    return out
+
+
+def ranges(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The numbers of all the half-open ranges, one after the other."""
+    size = ends - starts
+    return np.repeat(starts - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+
+
+class Runs:
+    """The candidates of some texts, side by side. A sign outside ASCII is symbol 128; what is in no run has class 0, the start of the next."""
+
+    def __init__(self, texts: list[str]) -> None:
+        whole = "\0".join(texts) + "\0\0\0"
+        if whole.isascii():
+            self.symbols = np.frombuffer(whole.encode(), np.uint8)
+            bits = _BITS[self.symbols]
+        else:
+            chars = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
+            self.symbols = np.minimum(chars, 128).astype(np.uint8)
+            bits = _BITS[self.symbols]
+            at = np.flatnonzero(self.symbols == 128)
+            known, place = np.unique(chars[at], return_inverse=True)
+            bits[at] = np.array([WORD if chr(c).isalnum() else 0 for c in known.tolist()], np.int16)[place]
+        classes = _CLASS[self.symbols]
+        inside = np.concatenate([[False], classes > 0])
+        starts, ends = np.flatnonzero(inside[1:] & ~inside[:-1]), np.flatnonzero(inside[:-1] & ~inside[1:])
+        padding = (bits[ends] == PAD).astype(np.int64)
+        padding += (padding == 1) & (bits[ends + padding] == PAD)
+        before = np.where(starts > 0, bits[starts - 1], 0)
+        free = (before & WORD == 0) & (bits[ends + padding] & (WORD | ALNUM | UNDER) == 0)
+        self.all_starts, self.all_ends, self.free = starts, ends, free
+        self.starts, self.ends, self.padding = starts[free], ends[free], padding[free]
+        self.offsets = np.cumsum([0] + [len(t) + 1 for t in texts])[:-1]
+        self.row = np.searchsorted(self.offsets, self.starts, "right") - 1
+        self.size = self.ends - self.starts
+        bits &= CANDIDATE
+        self.encoding = infer(np.bitwise_or.reduceat(bits, starts)[free] if len(starts) else np.empty(0, np.int16))
+        self.plain = self.encoding < NAMES.index("base64")
+        self.n = self.size - np.where(self.plain, self.in_runs(np.flatnonzero(self.symbols == 45)), 0).astype(np.int64)
+
+    def in_runs(self, at: np.ndarray, weights: np.ndarray | None = None) -> np.ndarray:
+        """How many of these characters, all in runs, each candidate has, or the sum of their weights."""
+        owner = np.searchsorted(self.all_starts, at, "right") - 1
+        return np.bincount(owner, weights, minlength=len(self.all_starts))[self.free]
+
+    def changes(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(candidate, class before, class) of each character but the first of some candidates, without hyphens that don't count."""
+        at, owner = ranges(self.starts[which] + 1, self.ends[which]), np.repeat(which, self.size[which] - 1)
+        counts = (self.symbols[at] != 45) | ~self.plain[owner]
+        at, owner = at[counts], owner[counts]
+        return owner, _CLASS[self.symbols[at - 1]], _CLASS[self.symbols[at]]
+
+    def ordinary(self) -> np.ndarray:
+        """Counts of symbols, then of steps between classes by encoding, in candidates of fewer than ORDINARY characters."""
+        left_out = ~self.free
+        left_out[np.flatnonzero(self.free)[self.size >= ORDINARY]] = True
+        symbols = np.bincount(self.symbols, minlength=129)
+        symbols -= np.bincount(self.symbols[ranges(self.all_starts[left_out], self.all_ends[left_out])], minlength=129)
+        mixed = np.flatnonzero((self.size < ORDINARY) & (self.encoding >= 0) & (_CLASSES_OF[self.encoding] > 1))
+        owner, before, now = self.changes(mixed)
+        cells = (self.encoding[owner] * CLASSES + before) * CLASSES + now
+        return np.concatenate([symbols[:128] * (_CLASS[:128] > 0), np.bincount(cells, minlength=len(NAMES) * CLASSES * CLASSES)])
+
+    def log_p(self, chain: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        """The logarithm of the p-value of 'ordinary' of each candidate, at most 0."""
+        if not len(self.starts):
+            return np.empty(0)
+        within = chain[0][self.symbols]
+        dashes = np.flatnonzero(self.symbols == 45)
+        total = np.add.reduceat(within, self.all_starts)[self.free] - np.where(self.plain, self.in_runs(dashes, within[dashes]), 0.0)
+        classes = _CLASSES_OF[self.encoding]
+        mixed = np.flatnonzero((self.encoding >= 0) & (classes > 1))
+        owner, before, now = self.changes(mixed)
+        steps = np.bincount(owner, chain[1][self.encoding[owner], before, now], minlength=len(total))
+        # all classes are as likely to begin with
+        return np.minimum(0.0, total + np.where(classes > 1, steps - np.log(classes), 0.0) + self.n * np.log(_SIZES)[self.encoding])
+
+    def length_class(self) -> np.ndarray:
+        return np.floor(2 * np.log2(np.maximum(self.n, 1))).astype(np.int64)
+
+
+def bins_of(log_p: np.ndarray) -> np.ndarray:
+    return np.minimum(np.floor(-100 / math.log(10) * log_p), LAST_BIN).astype(np.int64)
+
+
+def chain_of(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Logarithms of the probabilities of each symbol within its class, and by encoding of each class after each class; 0 for what is in no run."""
+    symbols, steps = counts[:128], counts[128:].reshape(len(NAMES), CLASSES, CLASSES).astype(float)
+    steps = (steps + 1) / (steps.sum(axis=2, keepdims=True) + CLASSES)
+    folded = np.bincount(_FOLDED, weights=symbols, minlength=128)
+    within = np.ones(129)
+    for letters in (_LOWER, _DIGITS, "+/-_"):
+        at = list(letters.encode())
+        within[at] = (folded[at] + 1) / (folded[at].sum() + len(at))
+    within[:128] = within[_FOLDED]  # capitals have the frequencies of the small letters
+    return np.log(within), np.log(steps)
 
 
 def gamma_tails(shape: float, x: float) -> tuple[float, float]:
@@ -132,8 +241,8 @@ def normal_two_sided(z: float) -> float:
     return math.erfc(abs(z) / math.sqrt(2))
 
 
-def battery(ranks: np.ndarray, letters: int) -> tuple[list[int], float, float, float]:
-    """(counts of the letters, p of uniformity, p of the runs test, p of the serial correlation) of a string of alphabet ranks."""
+def battery(ranks: np.ndarray, letters: int) -> tuple[float, float, float]:
+    """(p of uniformity, p of the runs test, p of the serial correlation) of a string of alphabet ranks."""
     n = len(ranks)
     counts = np.bincount(ranks, minlength=letters)
     collisions = int((counts.astype(np.int64) * (counts - 1)).sum())
@@ -151,72 +260,89 @@ def battery(ranks: np.ndarray, letters: int) -> tuple[list[int], float, float, f
     power = float((x * x).sum())
     r = float((x[1:] * x[:-1]).sum()) / power if power else 1.0
     p_serial = normal_two_sided((r + 1 / n) * math.sqrt(n))
-    return counts.tolist(), p_uniform(n, collisions, letters), p_runs, p_serial
-
-
-def p_ordinary(counts: np.ndarray, q: np.ndarray) -> float:
-    """The likelihood of these counts under q over that under uniform letters, at most 1."""
-    return math.exp(min(0.0, max(-690.0, float((counts * np.log(q * len(q))).sum()))))
-
-
-_FOUND = "doc_id long, start long, length long, n long, encoding string, counts array<long>, p_uniform double, p_runs double, p_serial double, secret_hash string, symbols array<long>"
+    return p_uniform(n, collisions, letters), p_runs, p_serial
 
 
-def candidates(docs: DataFrame) -> DataFrame:
-    """All candidates with their tests, and for each task one row of character counts of the rest of its texts."""
-    import hashlib
+def groups(batch: pa.RecordBatch) -> Iterator[tuple[int, list[str]]]:
+    """(first row, texts) of runs of rows of about CHARS_AT_ONCE characters; nulls are empty."""
+    texts: list[str] = []
+    held = begin = 0
+    for i, t in enumerate(batch.column(1)):
+        texts.append(t.as_py() or "")
+        held += len(texts[-1])
+        if held >= CHARS_AT_ONCE:
+            yield begin, texts
+            texts, held, begin = [], 0, i + 1
+    if texts:
+        yield begin, texts
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("n", pa.int64()), ("encoding", pa.string()), ("counts", pa.list_(pa.int64())), ("p_uniform", pa.float64()), ("p_runs", pa.float64()), ("p_serial", pa.float64()), ("secret_hash", pa.string()), ("symbols", pa.list_(pa.int64()))])
-        symbols = np.zeros(128, np.int64)
-        for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                text = text.as_py()
-                if not text:
-                    continue
-                symbols += np.bincount(np.frombuffer(text.encode("utf-8", "replace"), np.uint8), minlength=256)[:128]
-                for start, token in runs(text):
-                    symbols -= np.bincount(np.frombuffer(token.encode(), np.uint8), minlength=128)
-                    known = encoding_of(token)
-                    if known is None:
-                        continue
-                    name, body = known
-                    ranks = _RANK[name][np.frombuffer(body.encode(), np.uint8)].astype(np.int64)
-                    tests = battery(ranks, len(ALPHABETS[name]))
-                    rows.append((doc_id, start, len(token), len(body), name, *tests, hashlib.sha256(token.encode()).hexdigest()[:32], None))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
-        yield pa.RecordBatch.from_arrays([pa.array([None], t) for t in schema.types[:-1]] + [pa.array([symbols.tolist()], schema.types[-1])], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _FOUND)
+_FOUND = "doc_id long, start long, length long, encoding string, p_uniform double, p_runs double, p_serial double, p_ordinary double, secret_hash string"
 
 
 def scan(docs: DataFrame, fdr: float = FDR, random_level: float = RANDOM_LEVEL) -> DataFrame:
     """(doc_id, start, length, encoding, p_uniform, p_runs, p_serial, p_ordinary, secret_hash) of every secret; places in characters."""
-    found = materialize(candidates(docs), "candidates")
-    counts = found.where("symbols is not null").select(F.posexplode("symbols")).groupBy("pos").agg(F.sum("col").alias("n")).collect()  # 128 rows
-    symbols = np.zeros(128)
-    for r in counts:
-        symbols[r["pos"]] = r["n"]
-    folded = symbols.copy()
-    for a, b in zip(_UPPER.encode(), _LOWER.encode()):
-        folded[[a, b]] = symbols[a] + symbols[b]  # an alphabet of one case is held against letters of either
-    q = {}
-    for name, letters in ALPHABETS.items():
-        known = (symbols if name.startswith("base64") else folded)[list(letters.encode())] + 1
-        q[name] = known / known.sum()
-
-    @F.pandas_udf("double")
-    def ordinary(counts, encoding):  # noqa: ANN001, ANN202
-        return type(encoding)([p_ordinary(np.asarray(c), q[e]) for c, e in zip(counts, encoding)], dtype=float)
-
-    tested = found.where("symbols is null").drop("symbols").withColumn("p_ordinary", ordinary("counts", "encoding")).drop("counts")
-    tested = materialize(tested.withColumn("bin", F.floor(-100 * F.log10(F.greatest("p_ordinary", F.lit(1e-300)))).cast("int")).withColumn("class", F.floor(2 * F.log2("n")).cast("int")), "tested")
-    bins = tested.groupBy("encoding", "class", "bin").agg(F.count("*").alias("c"))  # at most 30,001 bins of each class
-    whole = Window.partitionBy("encoding", "class")
+    spark = docs.sparkSession
+    small_batches(spark)
+    source = named(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+
+    cells = 128 + len(NAMES) * CLASSES * CLASSES
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(cells, np.int64)
+        for batch in batches:
+            for _, texts in groups(batch):
+                counts += Runs(texts).ordinary()
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(cells)), pa.array(counts)], names=["cell", "n"])
+
+    counts = np.zeros(cells, np.int64)
+    for r in source.mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():  # 353 rows
+        counts[r["cell"]] = r["n"]
+    if not counts.any():
+        return spark.createDataFrame([], _FOUND)
+    chain = spark.sparkContext.broadcast(chain_of(counts))
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells: dict[int, int] = {}
+        for batch in batches:
+            for _, texts in groups(batch):
+                runs = Runs(texts)
+                known = runs.encoding >= 0
+                cell = ((runs.encoding << 10) + runs.length_class() << 16) + bins_of(runs.log_p(chain.value))
+                for c, n in zip(*(x.tolist() for x in np.unique(cell[known], return_counts=True))):
+                    cells[c] = cells.get(c, 0) + n
+        yield pa.RecordBatch.from_arrays([pa.array(list(cells), pa.int64()), pa.array(list(cells.values()), pa.int64())], names=["cell", "n"])
+
+    bins = source.mapInArrow(tally, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("c"))  # at most LAST_BIN + 1 for each class
+    bins = bins.select(F.shiftright("cell", 16).alias("class"), F.col("cell").bitwiseAND(65535).alias("bin"), "c")
+    whole = Window.partitionBy("class")
     bins = bins.withColumn("k", F.sum("c").over(whole.orderBy(F.desc("bin")))).withColumn("m", F.sum("c").over(whole))
-    cut = bins.where(F.pow(F.lit(10.0), -F.col("bin") / 100) <= F.lit(fdr) * F.col("k") / F.col("m")).groupBy("encoding", "class").agg(F.min("bin").alias("cut"))
-    least = F.least("p_uniform", "p_runs", "p_serial")
-    kept = tested.join(cut, ["encoding", "class"]).where((F.col("bin") >= F.col("cut")) & (1 - F.pow(1 - least, F.lit(3.0)) >= random_level))
-    return kept.select("doc_id", "start", "length", F.lower("encoding").alias("encoding"), "p_uniform", "p_runs", "p_serial", "p_ordinary", "secret_hash")
+    cut = bins.where(F.pow(F.lit(10.0), -F.col("bin") / 100) <= F.lit(fdr) * F.col("k") / F.col("m")).groupBy("class").agg(F.min("bin").alias("cut"))
+    cuts = np.full(len(NAMES) << 10, LAST_BIN + 1, np.int64)
+    for r in cut.collect():  # a row for each encoding and length class
+        cuts[r["class"]] = r["cut"]
+    shared = spark.sparkContext.broadcast(cuts)
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).to_pylist()
+            out = []
+            for begin, texts in groups(batch):
+                runs = Runs(texts)
+                log_p = runs.log_p(chain.value)
+                known = runs.encoding >= 0
+                least = shared.value[np.where(known, (runs.encoding << 10) + runs.length_class(), 0)]
+                for i in np.flatnonzero(known & (bins_of(log_p) >= least)).tolist():
+                    name, row = NAMES[runs.encoding[i]], int(runs.row[i])
+                    own = runs.symbols[runs.starts[i] : runs.ends[i]]
+                    ranks = _RANK[name][own[own != 45] if runs.plain[i] else own].astype(np.int64)
+                    tests = battery(ranks, len(ALPHABETS[name]))
+                    start, length = int(runs.starts[i] - runs.offsets[row]), int(runs.size[i] + runs.padding[i])
+                    digest = hashlib.sha256(texts[row][start : start + length].encode()).hexdigest()[:32]
+                    if 1 - (1 - min(tests)) ** 3 >= random_level:
+                        out.append((ids[begin + row], start, length, name.lower(), *tests, math.exp(max(-690.0, log_p[i])), digest))
+            if out:
+                types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), *[pa.float64()] * 4, pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=[c.split()[0] for c in _FOUND.split(", ")])
+
+    return source.mapInArrow(find, _FOUND)
