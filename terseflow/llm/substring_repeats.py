@@ -10,11 +10,16 @@ ends; runs of at least MIN_WORDS words are repeats. Runs inside another run of t
 
 Work grows with the number of words, not with its square: pairs are to first occurrences, so a passage in a million
 documents makes about a million pairs. Every word inside a passage of MIN_WORDS words found elsewhere is in a reported
-run; where no partner shares the whole of a longest run, it is reported as overlapping runs with several partners.
+run; where no partner shares the whole of a longest run, it is reported as overlapping runs with several partners. A first
+occurrence is the first of what one task read at once, then the first of those: which partner is named, and where such
+runs overlap, may differ with the layout of the table, the covered words do not. Anchors at the edges of a passage, with
+other words beside them each time, are the ones that still meet whole in one task, about 150 bytes each.
 
 Defined cases: null and empty texts and texts of fewer than MIN_WORDS words have no repeats; a null doc_id is left out;
 rows that share a doc_id are one document, in which an equal place is not a repeat of itself, and its first row in the
-order of text gives the words; repeats inside one document count. Texts are read whole. An empty table gives no rows.
+order of text gives the words; repeats inside one document count. Of equal runs the lowest other document and place is
+named. Texts are read whole. Columns besides doc_id and text are not looked at, whatever their names. An empty table gives
+no rows.
 """
 
 from __future__ import annotations
@@ -27,10 +32,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from terseflow.llm.common import BLOCK_SCHEMA, NOT_ALNUM, U64, by_part, materialize, mix, pack, part_of, shuffle_parts, small_batches, text_chunks, unpack, words
+from terseflow.llm.common import BLOCK_SCHEMA, NOT_ALNUM, U64, materialize, mix, named, pack, part_of, shuffle_parts, small_batches, text_chunks, unpack, words
 
 MIN_WORDS = 50
 K = 26
+#: Partners that a document is sent along with.
+PARTNERS = 1024
 LAST = U64(0xFFFFFFFFFFFFFFFF)
 _BASE = 0x9E3779B97F4A7C15
 
@@ -109,7 +116,10 @@ def unpack_anchors(batches: Iterator[pa.RecordBatch]) -> tuple[list[np.ndarray],
 
 
 def anchor_blocks(docs: DataFrame, parts: int, k: int, least: int) -> DataFrame:
-    """Blocks of anchors with their windows."""
+    """Blocks of anchors with their windows (part below `parts`), and of the pairs of repeats within what a task read at once (part from there on).
+
+    Of repeats within that, only the first goes on: groups of copies and the inside of common passages are one anchor a task.
+    """
     assert least - k < 256, "counts of windows are bytes"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,7 +131,11 @@ def anchor_blocks(docs: DataFrame, parts: int, k: int, least: int) -> DataFrame:
                 columns = [np.concatenate(c) for c in kept]
                 for c in kept:
                     c.clear()
-                yield from pack_anchors(columns[:-1], columns[-1], parts)
+                rows, wanted = pair_up(columns[:-1], columns[-1])
+                windows = columns[-1][np.repeat(wanted, columns[-2])]
+                yield from pack_anchors([c[wanted] for c in columns[:-1]], windows, parts)
+                for batch in pack(part_of(mix(rows[0].view(U64)), parts), list(rows), parts):
+                    yield pa.RecordBatch.from_arrays([pa.array(batch.column(0).to_numpy() + parts, pa.int32()), batch.column(1)], names=["part", "block"])
 
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
@@ -155,49 +169,72 @@ def _first_of(group: np.ndarray) -> np.ndarray:
     return np.repeat(lead, np.diff(np.append(lead, len(group))))
 
 
+def pair_up(columns: list[np.ndarray], windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct pairs (u, v, shift, n), which anchors are still wanted) of anchors with their windows.
+
+    An anchor without any window, or neighbourhood, that it is the first to have is not wanted: who meets it meets the first.
+    """
+    h, after, before, doc, place, n, lead, count = columns
+    wanted = np.ones(len(h), bool)
+    begin = np.cumsum(count, dtype=np.int64) - count
+    order = np.argsort(h, kind="stable")
+    hs = h[order]
+    many = np.zeros(len(hs), bool)
+    if len(hs) > 1:
+        equal = hs[1:] == hs[:-1]
+        many[1:] |= equal
+        many[:-1] |= equal
+    order = order[many]
+    h, after, before, doc, place, n, lead, count, begin = (x[order] for x in (h, after, before, doc, place, n, lead, count, begin))
+    found, first = [np.empty((4, 0), np.int64)], np.zeros(len(h), bool)
+    if len(h):
+        own = np.repeat(np.arange(len(h)), count)
+        nth = np.arange(len(own)) - np.repeat(np.cumsum(count, dtype=np.int64) - count, count)
+        windows = windows[np.repeat(begin, count) + nth]
+        spots = place.astype(np.int64)[own] - lead[own] + nth
+        for extra in (None, after, before):
+            if extra is None:
+                by = np.lexsort((spots, doc[own], windows))
+                lead_of = _first_of(windows[by])
+                u, v, at = own[by], own[by[lead_of]], spots[by]
+                shift = at[lead_of] - at
+                other = (doc[u] != doc[v]) | (shift != 0)
+                first[u[lead_of == np.arange(len(by))]] = True
+            else:
+                by = np.lexsort((place, doc, extra, h))
+                lead_of = _first_of(mix(h[by] + mix(extra[by])))
+                u, v = by, by[lead_of]
+                shift = place[v].astype(np.int64) - place[u]
+                other = ((doc[u] != doc[v]) | (shift != 0)) & (extra[u] != 0)
+                first[u[(lead_of == np.arange(len(by))) & (extra[u] != 0)]] = True
+            # a first occurrence needs no partner of its own: the runs of a pair count for both sides
+            u, v, shift = u[other], v[other], shift[other]
+            found.append(np.stack([doc[u], doc[v], shift, n[u].astype(np.int64)]))
+    wanted[order] = first
+    rows = np.concatenate(found, axis=1)
+    if rows.shape[1]:
+        rows = rows[:, np.lexsort(rows[::-1])]
+        rows = rows[:, np.concatenate([[True], (rows[:, 1:] != rows[:, :-1]).any(axis=0)])]
+    return rows, wanted
+
+
 def seeds(blocks: DataFrame, parts: int) -> DataFrame:
     """(u, v, n, shifts): document u has seeds with v, each `shift` words further on in v; n words in u."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (h, after, before, doc, place, n, lead, count), windows = unpack_anchors(batches)
-        begin = np.cumsum(count, dtype=np.int64) - count
-        order = np.argsort(h, kind="stable")
-        hs = h[order]
-        many = np.zeros(len(hs), bool)
-        if len(hs) > 1:
-            equal = hs[1:] == hs[:-1]
-            many[1:] |= equal
-            many[:-1] |= equal
-        order = order[many]
-        h, after, before, doc, place, n, lead, count, begin = (x[order] for x in (h, after, before, doc, place, n, lead, count, begin))
-        found = []
-        if len(h):
-            own = np.repeat(np.arange(len(h)), count)
-            nth = np.arange(len(own)) - np.repeat(np.cumsum(count, dtype=np.int64) - count, count)
-            windows = windows[np.repeat(begin, count) + nth]
-            spots = place.astype(np.int64)[own] - lead[own] + nth
-            for extra in (None, after, before):
-                if extra is None:
-                    by = np.lexsort((spots, doc[own], windows))
-                    u, v, at = own[by], own[by[(lead_of := _first_of(windows[by]))]], spots[by]
-                    shift = at[lead_of] - at
-                    other = (doc[u] != doc[v]) | (shift != 0)
-                else:
-                    by = np.lexsort((place, doc, extra, h))
-                    u, v = by, by[_first_of(mix(h[by] + mix(extra[by])))]
-                    shift = place[v].astype(np.int64) - place[u]
-                    other = ((doc[u] != doc[v]) | (shift != 0)) & (extra[u] != 0)
-                # a first occurrence needs no partner of its own: the runs of a pair count for both sides
-                u, v, shift = u[other], v[other], shift[other]
-                found.append(np.stack([doc[u], doc[v], shift, n[u].astype(np.int64)]))
-        rows = np.concatenate(found, axis=1) if found else np.empty((4, 0), np.int64)
-        if rows.shape[1]:
-            rows = rows[:, np.lexsort(rows[::-1])]
-            rows = rows[:, np.concatenate([[True], (rows[:, 1:] != rows[:, :-1]).any(axis=0)])]
+        kept = []
+        for batch in batches:
+            known = batch.column(0).to_numpy() >= parts  # pairs of one map task
+            yield from pair_rows(np.stack(unpack(iter([batch.filter(pa.array(known))]), ["i8"] * 4)))
+            kept.append(batch.filter(pa.array(~known)))
+        yield from pair_rows(pair_up(*unpack_anchors(iter(kept)))[0])
+
+    def pair_rows(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
         for a in range(0, rows.shape[1], 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(x[a : a + (1 << 16)]) for x in rows], names=["u", "v", "shift", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x[a : a + (1 << 16)])) for x in rows], names=["u", "v", "shift", "n"])
 
-    return by_part(blocks, parts).mapInArrow(run, "u long, v long, shift long, n long").groupBy("u", "v").agg(F.max("n").alias("n"), F.collect_set("shift").alias("shifts"))
+    sent = blocks.withColumn("to", F.pmod("part", F.lit(parts))).repartitionById(parts, F.col("to")).drop("to")
+    return sent.mapInArrow(run, "u long, v long, shift long, n long").groupBy("u", "v").agg(F.max("n").alias("n"), F.collect_set("shift").alias("shifts"))
 
 
 def equal_runs(x: np.ndarray, y: np.ndarray, least: int) -> list[tuple[int, int]]:
@@ -211,11 +248,13 @@ def repeats(docs: DataFrame, least: int = MIN_WORDS, k: int = K) -> DataFrame:
     spark = docs.sparkSession
     parts = shuffle_parts(spark)
     small_batches(spark)
-    texts = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("id"), F.lower("text").alias("text"))
+    texts = named(docs, "doc_id", "text").where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("id"), F.lower("text").alias("text"))
     found = materialize(seeds(anchor_blocks(texts, parts, k, least), parts), "seeds")
     # one strategy at every size: the texts are never broadcast; both joins use one exchange of them
     span = F.struct("u", "shifts", F.array_min("shifts").alias("least"), (F.array_max("shifts") + F.col("n")).alias("most"))
-    asked = found.where("u <> v").groupBy("v").agg(F.collect_list(span).alias("asked"))
+    # a document that many ask for is sent once for each PARTNERS of them
+    chunks = found.where("u <> v").groupBy("v").agg(F.ceil(F.count("*") / PARTNERS).alias("chunks"))
+    asked = found.where("u <> v").join(chunks, "v").groupBy("v", F.pmod(F.xxhash64("u"), F.col("chunks")).alias("chunk")).agg(F.collect_list(span).alias("asked")).drop("chunk")
     mine = texts.hint("merge").join(asked, texts["id"] == asked["v"]).select("v", "text", "asked")
 
     def word_hashes(text: str) -> np.ndarray:

@@ -89,3 +89,29 @@ def test_every_window_has_an_anchor():
     assert starts.tolist() == [*range(49, 50), *range(99, 651), *range(700, 851)]
     gap = places[owner] - starts
     assert ((gap >= 0) & (gap <= 24)).all() and (np.diff(owner) >= 0).all()
+
+
+def test_a_passage_in_many_documents(make, vocabulary):
+    """A passage of 60 words in thousands of documents, each with other words round it; a reader holds many of them at once."""
+    passage = [f"p{i}" for i in range(60)]
+    rows = [(i, " ".join([f"a{i}x{k}" for k in range(20)] + passage + [f"b{i}x{k}" for k in range(20)])) for i in range(5000)]
+    found = sr.repeats(make(rows)).collect()
+    assert {(r.doc_id, r.start, r.end) for r in found} == {(i, 20, 80) for i in range(5000)} and len(found) == 5000
+
+
+def test_readers_of_any_size_cover_the_same_words(make, vocabulary):
+    rng = random.Random(5)
+    base = [rng.choice(vocabulary) for _ in range(300)]
+    rows = []
+    for i in range(40):
+        a, b = sorted(rng.sample(range(301), 2))
+        rows.append((i, " ".join([rng.choice(vocabulary) for _ in range(rng.randint(0, 30))] + base[a:b] + [rng.choice(vocabulary) for _ in range(rng.randint(0, 30))])))
+    for parts in (1, 7):
+        found = sr.repeats(make(rows).repartition(parts)).collect()
+        assert {(r.doc_id, j) for r in found for j in range(r.start, r.end)} == covered(rows)
+
+
+def test_clashing_columns(spark):
+    p = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, p, 5, 6), (2, p, 7, 8)], "doc_id long, text string, u int, `a.b` int")
+    assert sorted((r.doc_id, r.start, r.end, r.other_id) for r in sr.repeats(docs).collect()) == [(1, 0, 60, 2), (2, 0, 60, 1)]
