@@ -4,14 +4,19 @@ Texts are cut into marked words (a run of word marks and the characters up to th
 batch are sorted, which lists the leaves of their trie in depth-first order; the forward table is kept on the stack, so
 that a prefix common to neighbouring words is scored once.
 
-The public vocabulary is a merge (BPE) model. Its scores are merge ranks, so the plain best-sum path is not what the model
-encodes. The recursion therefore admits a piece after another only if merging their joined text gives the two pieces
-again; then exactly one path is left for every prefix, its last piece is the forward state, and the result equals the
-model's own encoder (see README). Models of unigram type are refused.
+The forward score of a prefix is the best sum of piece scores over its paths: the maximum, over all pieces that end where it
+ends, of the score before the piece and the piece's own. For unigram models that is all (a character without a piece
+scores as unknown, ten below the lowest piece). The public vocabulary is a merge (BPE) model: its scores are merge ranks,
+and the plain best sum is not what the model encodes. There the same recursion admits a piece after another only if
+merging their joined text gives the two pieces again; the maximum is then over the paths that merging can produce. For
+both kinds the result equals the model's own encoder.
 
 Defined cases: null text gives null ids, empty text none; characters outside the vocabulary become byte pieces; a word
-of any length is one path in the trie, without recursion; equal texts get equal ids. Decoding joins the pieces, turns
-marks into blanks and drops the first blank, as the model's own decoder does; malformed bytes become U+FFFD.
+of any length is one path in the trie, without recursion; equal texts and repeated rows get equal ids; of paths of equal
+score that with the longer last piece wins; an empty table gives no rows; columns besides doc_id and text are not looked
+at, whatever their names. Decoding joins the pieces, turns marks into blanks and drops the first blank, as the model's own
+decoder does; malformed bytes become U+FFFD. A model of another kind, one without byte pieces, and one whose own encoding
+of a probe differs (a normaliser that rewrites text) are refused with an error.
 """
 
 from __future__ import annotations
@@ -23,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from terseflow.llm.common import small_batches
+from terseflow.llm.common import named, small_batches
 
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -35,12 +40,49 @@ TEXTS_AT_ONCE = 2000
 CHARS_AT_ONCE = 1 << 20
 
 
+UNIGRAM, MERGE = 1, 2
+
+
+def fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """(number, value) of the fields of a protocol buffer message."""
+
+    def varint(at: int) -> tuple[int, int]:
+        value = shift = 0
+        while True:
+            value |= (data[at] & 127) << shift
+            shift += 7
+            at += 1
+            if data[at - 1] < 128:
+                return value, at
+
+    at = 0
+    while at < len(data):
+        tag, at = varint(at)
+        if tag & 7 == 0:
+            value, at = varint(at)
+        else:
+            size, at = {1: lambda: (8, at), 5: lambda: (4, at), 2: lambda: varint(at)}[tag & 7]()
+            value, at = data[at : at + size], at + size
+        yield tag >> 3, value
+
+
+def model_kind(data: bytes) -> int:
+    """The model_type of the trainer_spec; unigram where none is given."""
+    found = [v for n, spec in fields(data) if n == 2 for k, v in fields(spec) if k == 3]
+    return found[-1] if found else UNIGRAM
+
+
 class PieceTrie:
     """Encoder and decoder of one model file."""
 
     def __init__(self, model_file: str) -> None:
         import sentencepiece
 
+        with open(model_file, "rb") as f:
+            kind = model_kind(f.read())
+        if kind not in (UNIGRAM, MERGE):
+            raise ValueError("only unigram and merge models are known")
+        self.merges = kind == MERGE
         model = sentencepiece.SentencePieceProcessor(model_file=model_file)
         size = model.get_piece_size()
         self.size = size
@@ -65,22 +107,26 @@ class PieceTrie:
                     raise ValueError(f"piece {p!r} spans words, so words can't be encoded one by one")
         if min(self.byte_id) < 0:
             raise ValueError("the model has no byte pieces")
-        probe = "ab the tokenization of wordings"
-        if self.merged(MARK + probe.replace(" ", MARK)) != model.encode(probe, out_type=str):
-            raise ValueError("the model is not of merge type with a word mark at the start")
-        # only pieces that merging their own text gives can be in a result
-        self.edges = {p: i for p, i in self.id_of.items() if len(p) == 1 or self.merged(p) == [p]}
-        self.suffixes: dict = {}  # a trie of the reversed pieces; the id of a piece is under the empty string
+        # only pieces that merging their own text gives can be in a result of merging
+        self.edges = {p: i for p, i in self.id_of.items() if not self.merges or len(p) == 1 or self.merged(p) == [p]}
+        self.score = [0.0] * size
+        self.suffixes: dict = {}  # a trie of the reversed pieces: character to [next characters, piece or -1]
         for p, i in self.edges.items():
-            node = self.suffixes
+            self.score[i] = self.rank[p]
+            children = self.suffixes
             for c in reversed(p):
-                node = node.setdefault(c, {})
-            node[""] = i
+                node = children.setdefault(c, [{}, -1])
+                children = node[0]
+            node[1] = i
+        self.unknown = min(self.rank.values()) - 10
         self.text_of = {i: p for p, i in self.edges.items()}
         self.follows: dict[int, bool] = {}
         self.newline = [self.id_of["\n"]] if "\n" in self.id_of else [self.byte_id[10]]
         self.slot_of: dict[str, int] = {}
         self.reset()
+        probe = "ab the tokenization of wordings, 12 (x)"
+        if self.encode([probe])[0].tolist() != model.encode(probe):
+            raise ValueError("the model normalises text or has no word mark at the start")
 
     def reset(self) -> None:
         self.slot_of.clear()
@@ -118,8 +164,11 @@ class PieceTrie:
         """Ids of each of the sorted distinct words."""
         out = []
         suffixes, follows, may_follow, size = self.suffixes, self.follows, self.may_follow, self.size
-        last: list[int] = [0]  # by prefix length: the last piece of the prefix's encoding ...
-        width: list[int] = [0]  # ... and its length
+        merges, piece_score, unknown = self.merges, self.score, self.unknown
+        # by prefix length, down the path of the trie: forward score, last piece of the best path and its length
+        score: list[float] = [0.0]
+        last: list[int] = [0]
+        width: list[int] = [0]
         before = ""
         for word in words:
             n = len(word)
@@ -128,30 +177,38 @@ class PieceTrie:
                 if x != y:
                     break
                 shared += 1
-            del last[shared + 1 :], width[shared + 1 :]
+            del score[shared + 1 :], last[shared + 1 :], width[shared + 1 :]
             for end in range(shared + 1, n + 1):
-                node, at, ending = suffixes, end, []
+                children, at, ending = suffixes, end, []
                 while at:
                     at -= 1
-                    node = node.get(word[at])
+                    node = children.get(word[at])
                     if node is None:
                         break
-                    piece = node.get("")
-                    if piece is not None:
+                    children, piece = node
+                    if piece >= 0:
                         ending.append((piece, at))
-                while ending:
-                    piece, at = ending.pop()
-                    if not at:
-                        break
-                    left = last[at] << 22 | piece
-                    known = follows.get(left)
-                    if known or (known is None and may_follow(last[at], piece)):
+                best, back, begin = None, size + ord(word[end - 1]), end - 1
+                if merges:
+                    while ending:  # the longest first; when one is admitted, no shorter one is
+                        piece, at = ending.pop()
+                        if at:
+                            pair = last[at] << 22 | piece
+                            known = follows.get(pair)
+                            if not (known or (known is None and may_follow(last[at], piece))):
+                                continue
+                        best, back, begin = score[at] + piece_score[piece], piece, at
                         break
                 else:
-                    piece, at = size + ord(word[end - 1]), end - 1
-                w = end - at
-                last.append(piece)
-                width.append(w)
+                    if not ending or ending[0][1] != end - 1:
+                        best = score[end - 1] + unknown
+                    for piece, at in ending:
+                        value = score[at] + piece_score[piece]
+                        if best is None or value >= best:
+                            best, back, begin = value, piece, at
+                score.append(score[end - 1] + unknown if best is None else best)
+                last.append(back)
+                width.append(end - begin)
             ids, at = [], n
             while at:
                 p = last[at]
@@ -252,7 +309,7 @@ def encode_documents(docs: DataFrame, model_file: str = DEFAULT_MODEL) -> DataFr
                 at += len(group)
         model.reset()  # the worker lives on for other stages
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, token_ids array<int>, round_trip boolean")
+    return named(docs, "doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, token_ids array<int>, round_trip boolean")
 
 
 def decode_documents(encoded: DataFrame, model_file: str = DEFAULT_MODEL) -> DataFrame:
@@ -264,4 +321,4 @@ def decode_documents(encoded: DataFrame, model_file: str = DEFAULT_MODEL) -> Dat
             texts = [None if ids is None else model.decode(ids) for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-    return encoded.select("doc_id", "token_ids").mapInArrow(run, "doc_id long, text string")
+    return named(encoded, "doc_id", "token_ids").mapInArrow(run, "doc_id long, text string")
