@@ -12,7 +12,9 @@ page_id, or by a hash of its text where that is null; pages that share either sh
 Defined cases: null html gives null text and removes nothing; empty html gives empty text; a null or odd URL belongs to
 the host ''; a subtree that occurs twice on a page counts once; repeated rows count as pages of their own; void elements,
 the root and the body are no subtrees; markup that never closes ends with its parent, an open head before the first thing
-that can't be in one; a noscript that never closes is no noscript; an unclosed quote or '<' is text.
+that can't be in one; a noscript that never closes is no noscript; an unclosed quote or '<' is text. Both ways of counting give
+equal results, also for null page_ids. An empty table gives no rows; columns besides page_id, url and html are not looked
+at, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terseflow.llm.common import BLOCK_SCHEMA, U64, by_part, materialize, mix, pack, part_of, shuffle_parts, unpack
+from terseflow.llm.common import BLOCK_SCHEMA, U64, by_part, materialize, mix, named, pack, part_of, shuffle_parts, unpack
 
 MIN_PAGES = 5
 BROADCAST_HASHES = 2_000_000
@@ -180,8 +182,8 @@ def templates(pages: DataFrame, min_pages: int) -> DataFrame:
 
         def flush() -> Iterator[pa.RecordBatch]:
             if keys:
-                k = np.concatenate(keys)
-                yield from pack(part_of(k, parts), [k], parts)
+                k, n = np.unique(np.concatenate(keys), return_counts=True)  # a footer of all pages is one record of a task
+                yield from pack(part_of(k, parts), [k, n.astype(np.uint32)], parts)
                 keys.clear()
 
         for batch in batches:
@@ -197,8 +199,10 @@ def templates(pages: DataFrame, min_pages: int) -> DataFrame:
         yield from flush()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, n = np.unique(unpack(batches, ["u8"])[0], return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(keys[n >= min_pages].view(np.int64))], names=["key"])
+        keys, n = unpack(batches, ["u8", "u4"])
+        keys, own = np.unique(keys, return_inverse=True)
+        total = np.bincount(own, weights=n, minlength=len(keys))
+        yield pa.RecordBatch.from_arrays([pa.array(keys[total >= min_pages].view(np.int64))], names=["key"])
 
     return by_part(pages.mapInArrow(run, BLOCK_SCHEMA), parts).mapInArrow(count, "key long")
 
@@ -206,7 +210,7 @@ def templates(pages: DataFrame, min_pages: int) -> DataFrame:
 def extract(pages: DataFrame, min_pages: int = MIN_PAGES, broadcast_hashes: int = BROADCAST_HASHES) -> DataFrame:
     """(page_id, host, text, n_removed): the text of every page without the subtrees that recur on its host."""
     spark = pages.sparkSession
-    source = pages.select("page_id", host_of(F.col("url")).alias("host"), "html")
+    source = named(pages, "page_id", "url", "html").select(F.col("page_id").cast("long").alias("page_id"), host_of(F.col("url")).alias("host"), "html")
     recurring = materialize(templates(source.select("host", "html"), min_pages), "templates")
     schema = "page_id long, host string, text string, n_removed long"
 
