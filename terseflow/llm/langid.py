@@ -6,7 +6,9 @@ is rejected where even that cosine is below what the sample shows for documents
 
 Defined cases: null, empty or letterless text has no vector, so no language, similarity 0 and is rejected. Null labels
 are not used for fitting; without any labelled text all documents are rejected. Ties go to the alphabetically first
-language. Rows are handled one by one, so repeated rows get equal answers. Texts are read whole.
+language. Rows are handled one by one, so repeated rows get equal answers. A null doc_id is kept, but is not in the
+sample. Texts are read whole. An empty table stays empty. Only doc_id, text and lang are looked at, whatever else there
+is; keep_identified() returns all columns under their names.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from terseflow.llm.common import U64, small_batches, text_chunks
+from terseflow.llm.common import named, neutral, small_batches, text_chunks
 
 DIMENSIONS = 8192
 SAMPLE_PER_LANGUAGE = 800
@@ -177,6 +179,7 @@ def fit(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, centroids: int
                 [batch.column(0), pa.array(cells, pa.binary()), pa.array(values, pa.binary()), pa.array(letters, pa.int64())], names=["lang", "cells", "counts", "letters"]
             )
 
+    docs = named(docs, "doc_id", "text", "lang")
     ids = sample_ids(docs, per_language)
     # at most per_language rows of each language: the broadcast cannot grow with the corpus
     sample = docs.select(F.col("doc_id").alias("__tf_id"), F.lower("text").alias("__tf_text")).join(F.broadcast(ids), "__tf_id").select("__tf_lang", "__tf_text")
@@ -191,7 +194,7 @@ def fit(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, centroids: int
 
 
 def scored(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """`keep` columns with __tf_lang, __tf_cos and __tf_rej; own names, so that no column of the documents clashes."""
+    """The columns `keep` of docs, which has __tf_text too, with __tf_lang, __tf_cos and __tf_rej."""
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema]
     shared = docs.sparkSession.sparkContext.broadcast(model)  # languages x centroids rows, whatever the corpus holds
 
@@ -208,15 +211,16 @@ def scored(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-1], "__tf_lang", "__tf_cos", "__tf_rej"])
 
     small_batches(docs.sparkSession)
-    return docs.select(*keep, F.lower("text").alias("__tf_text")).mapInArrow(run, ", ".join([*fields, "__tf_lang string", "__tf_cos double", "__tf_rej boolean"]))
+    return docs.select(*keep, F.lower("__tf_text").alias("__tf_text")).mapInArrow(run, ", ".join([*fields, "__tf_lang string", "__tf_cos double", "__tf_rej boolean"]))
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, lang_pred, similarity, rejected), one row for each document. No shuffle."""
-    return scored(docs, model, ["doc_id"]).withColumnsRenamed({"__tf_lang": "lang_pred", "__tf_cos": "similarity", "__tf_rej": "rejected"})
+    return scored(named(docs, "doc_id", "text").withColumnRenamed("text", "__tf_text"), model, ["doc_id"]).withColumnsRenamed({"__tf_lang": "lang_pred", "__tf_cos": "similarity", "__tf_rej": "rejected"})
 
 
 def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
-    """The documents that are not rejected, with all their columns."""
-    columns = docs.columns
-    return scored(docs, model, columns).where(~F.col("__tf_rej")).select(*columns)
+    """The documents that are not rejected, with all their columns, whatever these are called."""
+    plain, names = neutral(docs)
+    kept = scored(plain.withColumn("__tf_text", F.col(names.of("text"))), model, plain.columns).where(~F.col("__tf_rej"))
+    return names.restore(kept)

@@ -8,8 +8,9 @@ duration.
 
 Defined cases: a null payload has no digest, shard or metadata; an empty one is stored with length 0 and is of type
 application/octet-stream, as is whatever no header matches; a broken or cut header keeps its type with null metadata;
-equal payloads share one place, whatever rows they are in; payload columns are dropped, all others stay. An empty table
-gives no rows and no shard.
+equal payloads and repeated rows share one place, whatever rows they are in; the payload column is dropped, all others
+stay under their names, but those called as a column of the result (digest, shard, offset, length; media_type and so on)
+give way to it. An empty table gives no rows and no shard.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terseflow.llm.common import materialize, shared_path, shuffle_parts
+from terseflow.llm.common import Names, materialize, neutral, shared_path, shuffle_parts
 
 SHARD_BYTES = 256 << 20
 BLOCK = 512
@@ -51,7 +52,10 @@ def pack(rows: DataFrame, payload_col: str, target: str | None = None, shard_byt
     spark = rows.sparkSession
     target = target or shared_path(spark, "shards")
     parts = shuffle_parts(spark)
-    hashed = rows.withColumn("digest", F.sha2(F.col(payload_col), 256))
+    plain, names = neutral(rows)
+    payload = names.of(payload_col)
+    # rendering or reading the payloads may be dear, and three stages need them
+    hashed = materialize(plain.withColumn("digest", F.sha2(F.col(payload).cast("binary"), 256)), "payloads")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, folder = filesystem(target)
@@ -89,11 +93,15 @@ def pack(rows: DataFrame, payload_col: str, target: str | None = None, shard_byt
             yield finish()
 
     part = (F.conv(F.substring("digest", 1, 8), 16, 10).cast("long") * parts / F.lit(1 << 32)).cast("int")
-    sent = hashed.where(F.col(payload_col).isNotNull()).select(part.alias("part"), "digest", F.col(payload_col).alias("payload"))
+    sent = hashed.where("digest is not null").select(part.alias("part"), "digest", F.col(payload).cast("binary").alias("payload"))
     placed = sent.repartitionById(parts, F.col("part")).sortWithinPartitions("digest").mapInArrow(write, "digest string, shard string, offset long, length long")
     placed = materialize(placed, "shard-index").withColumn("shard", F.concat(F.lit(f"{target}/"), "shard"))
-    index = placed.withColumnRenamed("digest", "__tf_digest")
-    return hashed.drop(payload_col).join(index, F.col("digest") == F.col("__tf_digest"), "left").drop("__tf_digest")
+    left = Names([n for i, n in enumerate(names.names) if f"c{i}" != payload])
+    rest = hashed.drop(payload).toDF(*[f"c{i}" for i in range(len(left.names))], "digest")
+    with_place = rest.where("digest is not null").join(placed, "digest")
+    # rows without a payload would all meet in one task of the join
+    bare = rest.where("digest is null").withColumns({k: F.lit(None).cast(t) for k, t in (("shard", "string"), ("offset", "long"), ("length", "long"))})
+    return left.restore(with_place.unionByName(bare), new={k: F.col(k) for k in ("digest", "shard", "offset", "length")})
 
 
 # -- headers -------------------------------------------------------------------------------------------------------
@@ -196,10 +204,15 @@ def describe(rows: DataFrame) -> DataFrame:
             columns = [pa.array(c, t) for c, t in zip(zip(*found), types)] if found else [pa.array([], t) for t in types]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["__tf_digest", "media_type", "width", "height", "channels", "sample_rate", "seconds", "header_bytes"])
 
-    places = rows.where("digest is not null").select(F.col("digest").alias("__tf_digest"), "shard", "offset", "length").dropDuplicates(["__tf_digest"])
+    plain, names = neutral(rows)
+    digest, shard, offset, length = (F.col(names.of(k)) for k in ("digest", "shard", "offset", "length"))
+    places = plain.where(digest.isNotNull()).select(digest.alias("__tf_digest"), shard.alias("shard"), offset.alias("offset"), length.alias("length")).dropDuplicates(["__tf_digest"])
     places = places.repartition("shard").sortWithinPartitions("shard", "offset")
     meta = places.mapInArrow(run, "__tf_digest string, " + META)
-    return rows.join(meta, rows["digest"] == meta["__tf_digest"], "left").drop("__tf_digest")
+    new = [c.split() for c in META.split(", ")]
+    found = plain.where(digest.isNotNull()).join(meta, digest == F.col("__tf_digest")).drop("__tf_digest")
+    bare = plain.where(digest.isNull()).withColumns({k: F.lit(None).cast(t) for k, t in new})
+    return names.restore(found.unionByName(bare), new={k: F.col(k) for k, _ in new})
 
 
 # -- payloads of the embeddings table ------------------------------------------------------------------------------

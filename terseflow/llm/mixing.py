@@ -9,7 +9,8 @@ Sizes are UTF-8 bytes. Defined cases: a null source is a source of its own; null
 sampled like the others of their source; a source without any bytes gets `max_epochs`-capped epochs of 0; rows that
 share a doc_id share the coin; a null doc_id counts as the string 'null'; an empty table stays empty. Weights of sources
 that are not in the table do nothing, sources without a given weight get 0. If the target is beyond all caps, every
-weighted source is at its cap.
+weighted source is at its cap. All columns come back under their names, whatever these are; only one called copy_no gives
+way to the number of the copy.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terseflow.llm.common import materialize
+from terseflow.llm.common import materialize, named, neutral
 
 MAX_EPOCHS = 4
 SEED = 1
@@ -78,12 +79,14 @@ def mix_sources(
     The texts are never shuffled while the table of sources is small enough for Spark to broadcast; beyond that it is a
     join on source whose hot keys AQE splits.
     """
-    plan = source_epochs(docs, weights, target, max_epochs).select(F.col("source").alias("__tf_source"), F.col("epochs").alias("__tf_epochs"))
+    plain, names = neutral(docs)
+    own = plain.select("*", plain[names.of("source")].alias("source"), plain[names.of("doc_id")].alias("doc_id"))
+    plan = source_epochs(named(docs, "source", "text"), weights, target, max_epochs).select(F.col("source").alias("__tf_source"), F.col("epochs").alias("__tf_epochs"))
     whole = F.floor("__tf_epochs")
     times = whole + F.when(coin(seed) < F.col("__tf_epochs") - whole, 1).otherwise(0)
-    taken = docs.join(plan, docs["source"].eqNullSafe(F.col("__tf_source"))).withColumn("__tf_times", times).where(F.col("__tf_times") > 0)
-    copies = taken.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(0).cast("long"), F.col("__tf_times") - 1)).alias("__tf_copy"))
-    return copies.withColumnRenamed("__tf_copy", "copy_no") if numbered else copies.drop("__tf_copy")
+    taken = own.join(plan, own["source"].eqNullSafe(F.col("__tf_source"))).withColumn("__tf_times", times).where(F.col("__tf_times") > 0)
+    copies = taken.withColumn("__tf_copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__tf_times") - 1)))
+    return names.restore(copies, new={"copy_no": F.col("__tf_copy")} if numbered else None)
 
 
 #: The water level in closed form: with sources by the level at which they fill up, the k lowest are clamped.

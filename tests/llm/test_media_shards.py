@@ -51,3 +51,12 @@ def test_empty_table_and_bad_vectors(spark):
     rows = [(1, None, 1), (2, [], 1), (3, [1.0, None], 1), (4, [float("nan")], 1), (None, [1.0, -1.0, 0.5], None)]
     found = {r.vec_id: r.media_type for r in ms.describe(ms.pack(ms.rendered(spark.createDataFrame(rows, schema)), "payload")).collect()}
     assert found == {1: None, 2: None, 3: None, 4: None, None: "image/png"}
+
+
+def test_clashing_columns(spark, tmp_path):
+    rows = [(1, b"one", 5, "w", 7, "s"), (2, None, 6, "x", 8, "t"), (2, None, 6, "x", 8, "t"), (3, b"one", 5, "y", 9, "u")]
+    docs = spark.createDataFrame(rows, "id long, payload binary, length int, width string, `a.b` int, Digest string")
+    packed = ms.pack(docs, "payload", f"{tmp_path}/s")
+    assert packed.columns == ["id", "width", "a.b", "digest", "shard", "offset", "length"]
+    found = sorted(ms.describe(packed).select("id", F.col("`a.b`").alias("ab"), "length", "media_type", "width").collect())
+    assert [tuple(r) for r in found] == [(1, 7, 3, "application/octet-stream", None), (2, 8, None, None, None), (2, 8, None, None, None), (3, 9, 3, "application/octet-stream", None)]

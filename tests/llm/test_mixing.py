@@ -52,3 +52,11 @@ def test_edge_cases(make):
     assert {r.source for r in found.collect()} == {"b"} and found.count() == 3
     clash = make([(1, "x", "en", "a", 1)]).withColumnRenamed("lang", "copy_no")
     assert mixing.mix_sources(clash, numbered=False).columns == clash.columns
+
+
+def test_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "text", "a", 5, 6, 7)], "doc_id long, text string, source string, copy_no int, `a.b` int, weight int")
+    found = mixing.mix_sources(docs)
+    assert found.columns == ["doc_id", "text", "source", "a.b", "weight", "copy_no"]
+    assert [tuple(r) for r in found.collect()] == [(1, "text", "a", 6, 7, 0)]
+    assert mixing.mix_sources(docs, numbered=False).columns == docs.columns
