@@ -4,6 +4,12 @@ Each stage is (name, function of (spark, docs, sf_dir)) and works on all that it
 stage returns as Parquet to the shared folder and reads it for the next, so a lost executor costs one stage at most.
 ORACLE_SQL is None: nearest centroids, Order MinHash and SentencePiece are not SQL; tests/llm holds the stages against
 brute force.
+
+Defined cases, for every stage: a null text is no known language and goes at the first stage; an empty one likewise; null
+doc_ids, sources and labels stay (null ids are in no group of near-duplicates); repeated rows are told apart nowhere: they
+are kept or lost together by the first two stages, all kept or all gone after the third, and share their coin in the
+fourth; the earlier of equal lines and the lowest id of a group win ties; texts of any length are read whole; an empty
+table stays empty. Columns besides those of documents, whatever they are called, come back from every stage but the last.
 """
 
 from __future__ import annotations
@@ -23,7 +29,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first of equal or nearly equal lines stays; documents without any line left go."""
-    return line_edit_join.dedup_lines(docs, drop_emptied=True).select(*docs.columns)
+    return line_edit_join.dedup_lines(docs, drop_emptied=True, numbered=False)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -400,23 +400,24 @@ def kept_lines(docs: DataFrame, edits: int = EDITS, crowd: int = CROWD) -> DataF
     first = found.where(F.col("kind") == FIRST).select(F.col("a").alias("h"), F.col("b").alias("id"), F.col("c").alias("place"))
     pairs = found.where(F.col("kind") == PAIR).select("a", "b")
     crowded = found.where(F.col("kind") == CROWDED).groupBy(F.col("a").alias("key"), F.col("b").alias("h")).agg(F.min("c").cast("int").alias("code"))
-    near = None
-    if not crowded.isEmpty():
-        texts = lines_at(docs, crowded.select("h").distinct().join(first, "h")).dropDuplicates(["h"])
-        near = split_hot(crowded.join(texts, "h").join(first, "h"), edits, crowd)
+    crowded = materialize(crowded, "crowded")
     pairs = materialize(pairs.distinct(), "candidates")
     x = pairs.join(first.select(F.col("h").alias("a"), F.struct("id", "place").alias("x")), "a")
     both = materialize(x.join(first.select(F.col("h").alias("b"), F.struct("id", "place").alias("y")), "b"), "pairs")
-    wanted = both.select(F.col("a").alias("h"), F.col("x").alias("s")).unionByName(both.select(F.col("b").alias("h"), F.col("y").alias("s"))).distinct()
-    lines = materialize(lines_at(docs, wanted.select("h", "s.id", "s.place")).dropDuplicates(["h"]), "texts")
+    places = both.select(F.col("a").alias("h"), F.col("x").alias("s")).unionByName(both.select(F.col("b").alias("h"), F.col("y").alias("s")))
+    crowd_places = materialize(crowded.select("h").distinct().join(first, "h"), "crowd-places")
+    wanted = places.select("h", "s.id", "s.place").unionByName(crowd_places.select("h", "id", "place")).distinct()
+    lines = materialize(lines_at(docs, wanted).dropDuplicates(["h"]), "texts")  # the one time that lines are fetched
     later = F.when(F.col("x") > F.col("y"), F.col("a")).otherwise(F.col("b"))
     sides = both.select("a", "b", later.alias("h")).join(lines.select(F.col("h").alias("a"), F.col("line").alias("la")), "a").join(lines.select(F.col("h").alias("b"), F.col("line").alias("lb")), "b")
     removed = verify(sides.select("h", "la", "lb"), edits)
-    return first.join((removed if near is None else removed.unionByName(near)).distinct(), "h", "left_anti")
+    if not crowded.isEmpty():
+        removed = removed.unionByName(split_hot(crowded.join(lines, "h").join(crowd_places, "h"), edits, crowd))
+    return first.join(removed.distinct(), "h", "left_anti")
 
 
-def dedup_lines(docs: DataFrame, edits: int = EDITS, crowd: int = CROWD, drop_emptied: bool = False) -> DataFrame:
-    """The documents with all their columns, `text` without the removed lines (and `n_chars`, where there is one, its new length), and `n_removed`.
+def dedup_lines(docs: DataFrame, edits: int = EDITS, crowd: int = CROWD, drop_emptied: bool = False, numbered: bool = True) -> DataFrame:
+    """The documents with all their columns, `text` without the removed lines (and `n_chars`, where there is one, its new length) and, if `numbered`, `n_removed`.
 
     `drop_emptied` leaves out documents all of whose lines were removed: what they said stands earlier.
     """
@@ -451,7 +452,7 @@ def dedup_lines(docs: DataFrame, edits: int = EDITS, crowd: int = CROWD, drop_em
         changed["n_chars"] = F.when(F.col("done.n") > 0, F.length("done.text").cast(docs.schema["n_chars"].dataType)).otherwise(n_chars)
     if drop_emptied:
         joined = joined.where("done.n = 0 or done.text <> ''")
-    return names.restore(joined, changed, {"n_removed": F.col("done.n")})
+    return names.restore(joined, changed, {"n_removed": F.col("done.n")} if numbered else None)
 
 
 PARTS = EDITS + 1
