@@ -420,7 +420,10 @@ def history_compact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.compact_history(messages(spark, sf_dir), "conv_id", "turn").select("conv_id", "turn", "role", "toolName", "filePath", "content")
 
 
-@query()
+_OPTIONAL = " || ".join(f"CASE WHEN {c} <> '' THEN ',\"{c}\":' || to_json({c})::VARCHAR ELSE '' END" for c in ("toolName", "filePath"))
+
+
+@query(f"""SELECT conv_id, '[' || string_agg('{{"role":' || to_json(role)::VARCHAR || ',"content":' || to_json(content)::VARCHAR || {_OPTIONAL} || '}}', ',' ORDER BY turn) || ']' AS output, NULL::VARCHAR AS error FROM ({_COMPACT}) GROUP BY conv_id""")
 def history_compact_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     fields = F.struct("turn", F.struct("role", "content", "toolName", "filePath").alias("m"))
     packed = messages(spark, sf_dir).groupBy("conv_id").agg(F.array_sort(F.collect_list(fields)).alias("all"))
