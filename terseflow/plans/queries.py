@@ -220,6 +220,21 @@ def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
 _PAPERS = f"(SELECT o_orderkey, {MARKDOWN.sql} AS content FROM orders)"
 
 
+_BLOCKS = ("# Head of it", TICK * 3 + "sh\ncode  x # no\n" + TICK * 3, "plain words here", "see https://x.test/a?b=1 now", "open /etc/hosts then", "run " + TICK + "code x" + TICK + " twice", "~~~\ny /a/b\n~~~", "", "a /var/log and http://u.test/c too")
+BLOCKS = Text(tuple(p for i in range(6) for p in ((Pick("o_orderkey", _BLOCKS, 5**i), "\n") if i < 5 else (Pick("o_orderkey", _BLOCKS, 3),))))
+_ZONE = f"(?m)(^{TICK * 3}[^\\n]*\\n(?:[^\\n]*\\n)*?{TICK * 3}\\n?|^~~~[^\\n]*\\n(?:[^\\n]*\\n)*?~~~\\n?|^#[^\\n]*\\n?|{TICK}[^{TICK}\\n]+{TICK}|https?://[^\\s)]+|/[a-z]+/[a-z]+)"
+
+
+@query(
+    f"""SELECT o_orderkey, (row_number() OVER (PARTITION BY o_orderkey ORDER BY i) - 1)::INTEGER AS pos, CASE WHEN i % 2 = 1 THEN 'prose' WHEN text LIKE '{TICK * 3}%' OR text LIKE '~~~%' THEN 'code_fence' WHEN text LIKE '#%' THEN 'heading' WHEN text LIKE '{TICK}%' THEN 'inline_code' WHEN text LIKE 'http%' THEN 'url' ELSE 'path' END AS kind, text
+FROM (SELECT o_orderkey, unnest(range(1, len(p) + 1)) AS i, unnest(p) AS text FROM (SELECT o_orderkey, string_split(regexp_replace({BLOCKS.sql}, {quoted(_ZONE)}, chr(1) || '\\1' || chr(1), 'g'), chr(1)) AS p FROM orders)) WHERE text <> ''"""
+)
+def zone_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Zones of documents whose fences close; zone_split takes those whose don't."""
+    found = table(spark, sf_dir, "orders").select("o_orderkey", F.posexplode(zones.zones(BLOCKS.spark)).alias("pos", "z"))
+    return found.select("o_orderkey", "pos", "z.kind", "z.text")
+
+
 @query()
 def zone_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return papers(spark, sf_dir).select("o_orderkey", F.posexplode(zones.zones("content")).alias("pos", "z")).select("o_orderkey", "pos", "z.kind", "z.text")
@@ -259,6 +274,28 @@ def validate_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validate.validate(docs, changed).select("path", "report.*")
 
 
+_FENCES = quoted(f"(?m)^{TICK * 3}[^\\n]*\\n(?:[^\\n]*\\n)*?{TICK * 3}\\n?|^~~~[^\\n]*\\n(?:[^\\n]*\\n)*?~~~\\n?")
+_LISTS = {
+    "heading mismatch": "regexp_extract_all({}, '(?m)^# ([^\\n]*)', 1)",
+    "code block mismatch": "regexp_extract_all({}, " + _FENCES.replace("{", "{{").replace("}", "}}") + ")",
+    "url mismatch": "regexp_extract_all({}, 'https?://[^\\s)]+')",
+    "path mismatch": "regexp_extract_all({}, '(?:^|[\\s(])((?:\\.?/|\\../)[^\\s)`]+)', 1)",
+}
+_DIFFER = {k: f"CASE WHEN {v.format('a')} <> {v.format('b')} THEN '{k}' END" for k, v in _LISTS.items()}
+_EDITS = (("https", "http"), ("# Head", "# Tail"), ("code  x", "code y"), ("/etc/hosts", "/etc/host"), ("plain", "plainer"))
+
+
+@query(
+    f"""SELECT path, len(errors) = 0 AS valid, errors, warnings FROM (SELECT 'b' || o_orderkey AS path, list_filter([{", ".join(v for k, v in _DIFFER.items() if k != "path mismatch")}], lambda x: x IS NOT NULL) AS errors, list_filter([{_DIFFER["path mismatch"]}], lambda x: x IS NOT NULL) AS warnings
+FROM (SELECT o_orderkey, a, CASE o_orderkey % 5 {" ".join(f"WHEN {i} THEN replace(a, {quoted(x)}, {quoted(y)})" for i, (x, y) in enumerate(_EDITS))} END AS b FROM (SELECT o_orderkey, {BLOCKS.sql} AS a FROM orders)))"""
+)
+def validate_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports on documents whose fences close, each with one kind of edit."""
+    docs = table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("b"), F.col("o_orderkey").cast("string")).alias("path"), BLOCKS.spark.alias("content"))
+    edited = reduce(lambda c, e: F.when(F.col("o_orderkey") % 5 == e[0], F.replace("content", F.lit(e[1][0]), F.lit(e[1][1]))).otherwise(c), enumerate(_EDITS), F.col("content"))
+    return validate.validate(docs, docs.withColumn("content", edited)).select("path", "report.*")
+
+
 # -- markdown ------------------------------------------------------------------------------------------------------
 
 _MD_SQL = f"""
