@@ -33,7 +33,7 @@ from terseflow.llm.common import named, small_batches
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 _UNIT = re.compile(f"\n|{MARK}+[^{MARK}\n]*|[^{MARK}\n]+")
-#: Distinct words whose ids a worker keeps between batches; beyond it the table starts anew.
+#: Distinct words whose ids a worker keeps between batches; beyond it only those that came more than once stay, two thirds as many at most.
 KEPT_WORDS = 150_000
 #: Rows encoded at once: bounded, so that a batch of long texts stays small in memory.
 TEXTS_AT_ONCE = 2000
@@ -133,6 +133,18 @@ class PieceTrie:
         self.lengths = np.empty(0, np.int32)
         self.starts = np.empty(0, np.int64)
         self.flat = np.empty(0, np.int32)
+        self.used = np.empty(0, np.int64)
+
+    def forget(self) -> None:
+        """Keep the words that were used most."""
+        stay = np.argsort(-self.used, kind="stable")[: KEPT_WORDS * 2 // 3]
+        stay = np.sort(stay[self.used[stay] > 1])
+        words = list(self.slot_of)
+        self.slot_of = {words[i]: n for n, i in enumerate(stay.tolist())}
+        lengths, starts = self.lengths[stay].astype(np.int64), self.starts[stay]
+        ends = np.cumsum(lengths)
+        self.flat = self.flat[np.repeat(starts - (ends - lengths), lengths) + np.arange(int(lengths.sum()))]
+        self.lengths, self.starts, self.used = lengths.astype(np.int32), ends - lengths, self.used[stay] // 2
 
     def merged(self, text: str) -> list[str]:
         """Merging as such: the adjacent pair of best rank, leftmost first, until none is a piece."""
@@ -165,10 +177,8 @@ class PieceTrie:
         out = []
         suffixes, follows, may_follow, size = self.suffixes, self.follows, self.may_follow, self.size
         merges, piece_score, unknown = self.merges, self.score, self.unknown
-        # by prefix length, down the path of the trie: forward score, last piece of the best path and its length
-        score: list[float] = [0.0]
-        last: list[int] = [0]
-        width: list[int] = [0]
+        # by prefix length, down the path of the trie: forward score, last piece of the best path and where it begins
+        path: list[tuple[float, int, int]] = [(0.0, 0, 0)]
         before = ""
         for word in words:
             n = len(word)
@@ -177,7 +187,7 @@ class PieceTrie:
                 if x != y:
                     break
                 shared += 1
-            del score[shared + 1 :], last[shared + 1 :], width[shared + 1 :]
+            del path[shared + 1 :]
             for end in range(shared + 1, n + 1):
                 children, at, ending = suffixes, end, []
                 while at:
@@ -188,35 +198,32 @@ class PieceTrie:
                     children, piece = node
                     if piece >= 0:
                         ending.append((piece, at))
-                best, back, begin = None, size + ord(word[end - 1]), end - 1
                 if merges:
                     while ending:  # the longest first; when one is admitted, no shorter one is
                         piece, at = ending.pop()
-                        if at:
-                            pair = last[at] << 22 | piece
-                            known = follows.get(pair)
-                            if not (known or (known is None and may_follow(last[at], piece))):
-                                continue
-                        best, back, begin = score[at] + piece_score[piece], piece, at
-                        break
+                        total, left, _ = path[at]
+                        if not at:
+                            break
+                        known = follows.get(left << 22 | piece)
+                        if known or (known is None and may_follow(left, piece)):
+                            break
+                    else:
+                        piece, at, total = 0, end - 1, None
+                    path.append((path[at][0] + unknown, size + ord(word[at]), at) if total is None else (total + piece_score[piece], piece, at))
                 else:
-                    if not ending or ending[0][1] != end - 1:
-                        best = score[end - 1] + unknown
+                    best = None if ending and ending[0][1] == end - 1 else (path[end - 1][0] + unknown, size + ord(word[end - 1]), end - 1)
                     for piece, at in ending:
-                        value = score[at] + piece_score[piece]
-                        if best is None or value >= best:
-                            best, back, begin = value, piece, at
-                score.append(score[end - 1] + unknown if best is None else best)
-                last.append(back)
-                width.append(end - begin)
+                        value = path[at][0] + piece_score[piece]
+                        if best is None or value >= best[0]:
+                            best = value, piece, at
+                    path.append(best)
             ids, at = [], n
             while at:
-                p = last[at]
+                _, p, at = path[at]
                 if p < size:
                     ids.append(p)
                 else:
                     ids += [self.byte_id[b] for b in reversed(chr(p - size).encode("utf-8", "replace"))]
-                at -= width[at]
             ids.reverse()
             out.append(ids)
             before = word
@@ -244,16 +251,18 @@ class PieceTrie:
         self.lengths = np.concatenate([self.lengths, lengths])
         self.flat = np.concatenate([self.flat, flat])
         self.starts = np.concatenate([[0], np.cumsum(self.lengths[:-1], dtype=np.int64)])
+        self.used = np.concatenate([self.used, np.zeros(len(fresh), np.int64)])
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, bounds of each)."""
         if len(self.slot_of) > KEPT_WORDS:
-            self.reset()
+            self.forget()
         split = [self.units(t) for t in texts]
         self.learn({""}.union(*split))
         count = np.fromiter(map(len, split), np.int64, len(split))
         slot_of = self.slot_of
         slots = np.fromiter((slot_of[w] for s in split for w in s), np.int64, int(count.sum()))
+        self.used += np.bincount(slots, minlength=len(self.used))
         lengths = self.lengths[slots].astype(np.int64)
         ends = np.cumsum(lengths)
         total = int(ends[-1]) if len(ends) else 0
