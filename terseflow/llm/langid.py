@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from terseflow.llm.common import named, neutral, small_batches, text_chunks
+from terseflow.llm.common import named, neutral, small_batches, text_chunks, tidy
 
 DIMENSIONS = 8192
 SAMPLE_PER_LANGUAGE = 800
@@ -211,7 +211,7 @@ def scored(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-1], "__tf_lang", "__tf_cos", "__tf_rej"])
 
     small_batches(docs.sparkSession)
-    return docs.select(*keep, F.lower("__tf_text").alias("__tf_text")).mapInArrow(run, ", ".join([*fields, "__tf_lang string", "__tf_cos double", "__tf_rej boolean"]))
+    return docs.select(*keep, F.lower("__tf_text").alias("__tf_text")).mapInArrow(tidy(run), ", ".join([*fields, "__tf_lang string", "__tf_cos double", "__tf_rej boolean"]))
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:

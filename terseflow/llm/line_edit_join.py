@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terseflow.llm.common import BLOCK_SCHEMA, GOLD, SPACE, U64, by_part, materialize, mix, named, neutral, pack, part_of, shuffle_parts, small_batches, text_chunks, unpack
+from terseflow.llm.common import BLOCK_SCHEMA, GOLD, SPACE, U64, by_part, give_back, materialize, mix, named, neutral, pack, part_of, shuffle_parts, small_batches, text_chunks, tidy, unpack
 from terseflow.llm.order_minhash import banded_distance
 
 EDITS = 2
@@ -161,6 +161,7 @@ def line_records(docs: DataFrame, edits: int, parts: int, crowd: int) -> DataFra
                     yield pa.RecordBatch.from_arrays([shifted, batch.column(1)], names=["part", "block"])
             for c in (*near, *whole):
                 c.clear()
+            give_back()
 
         held = 0
         for batch in batches:
@@ -187,7 +188,7 @@ def line_records(docs: DataFrame, edits: int, parts: int, crowd: int) -> DataFra
                     held = 0
         yield from flush()
 
-    return docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("text is not null").mapInArrow(run, BLOCK_SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("text is not null").mapInArrow(tidy(run), BLOCK_SCHEMA)
 
 
 def near_pairs(base: np.ndarray, lines: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -243,6 +244,7 @@ def gather(records: DataFrame, parts: int, crowd: int) -> DataFrame:
         yield from rows(CROWDED, base[out], lines[out], code[out])
         yield from rows(PAIR, *near_pairs(base[~crowded], lines[~crowded], code[~crowded]))
         del base, lines, code
+        give_back()
         h1, h2, ids, number = unpack(iter(whole), ["u8", "u8", "i8", "i4"])
         whole.clear()
         order = np.lexsort((number, ids, h2, h1))
@@ -251,7 +253,7 @@ def gather(records: DataFrame, parts: int, crowd: int) -> DataFrame:
         lead[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
         yield from rows(FIRST, h1[lead], ids[lead], number[lead])
 
-    return records.withColumn("to", F.pmod("part", F.lit(parts))).repartitionById(parts, F.col("to")).drop("to").mapInArrow(run, _FOUND)
+    return records.withColumn("to", F.pmod("part", F.lit(parts))).repartitionById(parts, F.col("to")).drop("to").mapInArrow(tidy(run), _FOUND)
 
 
 def within(x: bytes, y: bytes, edits: int) -> bool:
@@ -277,7 +279,7 @@ def verify(lines: DataFrame, edits: int) -> DataFrame:
             keep = [within(x.as_py(), y.as_py(), edits) for x, y in zip(batch.column(1), batch.column(2))]
             yield pa.RecordBatch.from_arrays([batch.column(0)], names=["h"]).filter(pa.array(keep, pa.bool_()))
 
-    return lines.mapInArrow(run, "h long")
+    return lines.mapInArrow(tidy(run), "h long")
 
 
 def lines_at(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -299,7 +301,7 @@ def lines_at(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                         found.append(parts[x["place"]])
             yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), pa.array(found, pa.binary())], names=["h", "line"])
 
-    return texts.join(per_doc, "id").select("text", "at").mapInArrow(run, "h long, line binary")
+    return texts.join(per_doc, "id").select("text", "at").mapInArrow(tidy(run), "h long, line binary")
 
 
 def line_hash(xxhash, line: bytes) -> int:  # noqa: ANN001
@@ -359,7 +361,7 @@ def split_hot(state: DataFrame, edits: int, crowd: int) -> DataFrame:
         early = x.select("key", F.col("line").alias("y"), F.struct("id", "place").alias("before"), F.col("code").alias("code2"))
         return x.join(early, "key").where((F.struct("id", "place") > F.col("before")) & ((F.col("code") == 0) | (F.col("code2") == 0))).select("h", "line", "y")
 
-    state = state.select("key", "code", "h", "id", "place", "line").mapInArrow(begin, _STATE)
+    state = state.select("key", "code", "h", "id", "place", "line").mapInArrow(tidy(begin), _STATE)
     done = None
     for n in range(SPLITS + 1):
         state = materialize(state.dropDuplicates(["key", "h", "code", "rest"]), "hot-lines")
@@ -385,7 +387,7 @@ def split_hot(state: DataFrame, edits: int, crowd: int) -> DataFrame:
         hot = hot.where(~last)
         if hot.isEmpty():
             break
-        state = state.join(hot.drop("n", "least", "whole", "first", "y"), "key").select(*_CARRIED, "rest", "low", "high", "low_back", "high_back", "shortest").mapInArrow(cut, _STATE)
+        state = state.join(hot.drop("n", "least", "whole", "first", "y"), "key").select(*_CARRIED, "rest", "low", "high", "low_back", "high_back", "shortest").mapInArrow(tidy(cut), _STATE)
     return done.distinct()
 
 
@@ -441,6 +443,7 @@ def dedup_lines(docs: DataFrame, edits: int = EDITS, crowd: int = CROWD, drop_em
                     out.append(line)
             texts.append("\n".join(out) if t is not None else None)
             counts.append(n)
+        give_back()
         return pd.DataFrame({"text": pd.Series(texts, dtype=object), "n": counts})
 
     plain, names = neutral(docs)

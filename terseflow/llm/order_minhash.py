@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from terseflow.llm.common import GOLD, NOT_ALNUM, U64, materialize, mix, named, neutral, remove, small_batches, text_chunks, words
+from terseflow.llm.common import GOLD, NOT_ALNUM, U64, materialize, mix, named, neutral, remove, small_batches, text_chunks, tidy, words
 
 K = 2
 SAMPLED = 3
@@ -157,7 +157,7 @@ def sketches_of(docs: DataFrame, threshold: float) -> DataFrame:
                 )
 
     source = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("id"), F.lower("text").alias("text"))
-    return source.mapInArrow(run, "id long, n long, f1 long, f2 long, keys array<long>").where("n > 0")
+    return source.mapInArrow(tidy(run), "id long, n long, f1 long, f2 long, keys array<long>").where("n > 0")
 
 
 # -- banded alignment ----------------------------------------------------------------------------------------------
@@ -347,7 +347,7 @@ def compared(docs: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, names=["u", "v", "ok", "slack", "rest"])
 
     placed = sent.repartition("u", "chunk").sortWithinPartitions("u", "chunk", F.col("v").asc_nulls_first(), F.when(F.col("v").isNull(), F.col("__tf_text")))
-    return placed.mapInArrow(run, "u long, v long, ok boolean, slack long, rest array<long>")
+    return placed.mapInArrow(tidy(run), "u long, v long, ok boolean, slack long, rest array<long>")
 
 
 # -- components ----------------------------------------------------------------------------------------------------

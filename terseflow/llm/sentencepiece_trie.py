@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from terseflow.llm.common import named, small_batches
+from terseflow.llm.common import named, small_batches, tidy
 
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -318,7 +318,7 @@ def encode_documents(docs: DataFrame, model_file: str = DEFAULT_MODEL) -> DataFr
                 at += len(group)
         model.reset()  # the worker lives on for other stages
 
-    return named(docs, "doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, token_ids array<int>, round_trip boolean")
+    return named(docs, "doc_id", "text").mapInArrow(tidy(run), "doc_id long, n_tokens long, token_ids array<int>, round_trip boolean")
 
 
 def decode_documents(encoded: DataFrame, model_file: str = DEFAULT_MODEL) -> DataFrame:
@@ -330,4 +330,4 @@ def decode_documents(encoded: DataFrame, model_file: str = DEFAULT_MODEL) -> Dat
             texts = [None if ids is None else model.decode(ids) for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-    return named(encoded, "doc_id", "token_ids").mapInArrow(run, "doc_id long, text string")
+    return named(encoded, "doc_id", "token_ids").mapInArrow(tidy(run), "doc_id long, text string")
