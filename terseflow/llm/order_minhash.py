@@ -9,9 +9,10 @@ Documents that agree in any key are candidates; a pair is near when the word-lev
 stays.
 
 Large groups need no quadratic work: copies with equal words are folded first and each bucket is compared with its lowest
-member. What that leaves apart is compared pair by pair in small buckets; large ones are split, exactly, by the rarest of
-the words that their members do not share with the lowest one (see bucket_edges), until they are small. So every
-candidate pair is verified, connected already, or shown to be too far apart.
+member. What that leaves apart is compared pair by pair in small buckets; the members of large ones are cut into blocks by
+length, and pairs of blocks whose lengths allow it are compared within a task, where counts of words rule out nearly all
+pairs at little cost (see within_groups). So every candidate pair is verified, connected already, or shown to be too far
+apart, in one round whatever the buckets hold.
 
 Defined cases: texts without words (null, empty, punctuation) are in no group; documents of fewer than k words are one
 short k-mer; a null doc_id is in no group and stays; rows that share a doc_id are one document, near to another if any of
@@ -303,51 +304,128 @@ def common(a: np.ndarray, b: np.ndarray) -> int:
 
 #: Partners that a document's text is sent along with; one of more partners goes to several tasks.
 PARTNERS = 256
-#: Members of a bucket that are compared with each other as they are; larger buckets are split by words.
+#: Members of a bucket that are compared with each other as they are; larger buckets are cut into blocks.
 SMALL = 64
 
 
+def texts_of(docs: DataFrame) -> DataFrame:
+    return docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("__tf_id"), F.lower("text").alias("__tf_text"))
+
+
 def compared(docs: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
-    """(u, v, ok, slack, rest) for pairs (u, v, hot) of ids: whether the documents are near and, for hot pairs, the words that
-    v has beyond those of u (numbered by occurrence) and how many of v's words may be missing in a document near to it.
+    """The pairs (u, v) of ids whose documents are near.
 
     A document's text goes once to each PARTNERS partners. One join fetches all texts, never by broadcast.
     """
     counts = pairs.groupBy("u").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("chunks"))
-    asked = pairs.join(counts, "u").select(F.col("v").alias("id"), "u", F.pmod(F.xxhash64("v"), F.col("chunks")).cast("int").alias("chunk"), "v", "hot")
-    own = counts.select(F.col("u").alias("id"), "u", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(None).cast("long").alias("v"), F.lit(False).alias("hot"))
-    texts = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("__tf_id"), F.lower("text").alias("__tf_text"))
+    asked = pairs.join(counts, "u").select(F.col("v").alias("id"), "u", F.pmod(F.xxhash64("v"), F.col("chunks")).cast("int").alias("chunk"), "v")
+    own = counts.select(F.col("u").alias("id"), "u", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(None).cast("long").alias("v"))
+    texts = texts_of(docs)
     asked = own.unionByName(asked)
-    sent = texts.hint("merge").join(asked, texts["__tf_id"] == asked["id"]).select("u", "chunk", "v", "hot", "__tf_text")
+    sent = texts.hint("merge").join(asked, texts["__tf_id"] == asked["id"]).select("u", "chunk", "v", "__tf_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, mine, base = None, [], None
+        key, mine = None, []
         for batch in batches:
-            us, chunks, vs, hots = (batch.column(i).to_pylist() for i in range(4))
+            us, chunks, vs = (batch.column(i).to_pylist() for i in range(3))
             out: list[tuple] = []
-            for a, b, raw, offsets in text_chunks(batch.column(4)):
+            for a, b, raw, offsets in text_chunks(batch.column(3)):
                 hashes, first = words(raw, offsets, NOT_ALNUM)
                 for i in range(a, b):
                     x = hashes[first[i - a] : first[i - a + 1]]
                     if (us[i], chunks[i]) != key:
-                        key, mine, base = (us[i], chunks[i]), [], None
+                        key, mine = (us[i], chunks[i]), []
                     if vs[i] is None:  # the document itself comes first
                         mine.append(x.copy())
-                        continue
-                    ok = len(x) > 0 and any(len(y) > 0 and near(y, x, threshold) for y in mine)
-                    slack, rest = None, None
-                    if hots[i] and mine and len(x):
-                        base = numbered(mine[0]) if base is None else base
-                        rest = np.setdiff1d(numbered(x), base, assume_unique=True).view(np.int64)
-                        slack = allowed(len(x), threshold)
-                    if ok or rest is not None:
-                        out.append((us[i], vs[i], ok, slack, rest))
+                    elif len(x) > 0 and any(len(y) > 0 and near(y, x, threshold) for y in mine):
+                        out.append((us[i], vs[i]))
             if out:
-                columns = [pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.list_(pa.int64())))]
-                yield pa.RecordBatch.from_arrays(columns, names=["u", "v", "ok", "slack", "rest"])
+                yield id_pairs(out)
+
+    placed = sent.repartition("u", "chunk").sortWithinPartitions("u", "chunk", F.col("v").asc_nulls_first())
+    return placed.mapInArrow(tidy(run), "u long, v long")
+
+
+def id_pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["u", "v"])
+
 
-    placed = sent.repartition("u", "chunk").sortWithinPartitions("u", "chunk", F.col("v").asc_nulls_first(), F.when(F.col("v").isNull(), F.col("__tf_text")))
-    return placed.mapInArrow(tidy(run), "u long, v long, ok boolean, slack long, rest array<long>")
+# -- large buckets -------------------------------------------------------------------------------------------------
+
+#: Members and words of a block of a large bucket; a task compares two blocks.
+BLOCK_MEMBERS = 512
+BLOCK_WORDS = 1 << 20
+#: Counters of a document's words, and the fewer that are looked at first.
+COUNTERS, COARSE = 512, 64
+
+
+def near_in_block(ids: np.ndarray, comps: np.ndarray, sides: np.ndarray, texts: list[np.ndarray], threshold: float) -> list[tuple[int, int]]:
+    """The near pairs of ids, up to what connects them already; with two sides, the pairs across them.
+
+    Near documents share all words of the longer one but for its allowed edits. The sum of the lower of two documents'
+    counters is at least what they share, so a pair whose sum is less is never near.
+    """
+    size = np.array([len(x) for x in texts])
+    order = np.argsort(size, kind="stable")
+    ids, sides, size, texts = ids[order], sides[order], size[order], [texts[i] for i in order]
+    label = np.unique(comps[order], return_inverse=True)[1]
+    fine = np.array([np.bincount((x >> U64(40)).astype(np.int64) % COUNTERS, minlength=COUNTERS) for x in texts]).astype(np.uint16 if size[-1] < 1 << 16 else np.uint32)
+    coarse = fine.reshape(len(texts), COUNTERS // COARSE, COARSE).sum(axis=1).astype(fine.dtype)
+    across = sides.min() != sides.max()
+    found: list[tuple[int, int]] = []
+    for i in range(1, len(texts)):
+        least = int(size[i]) - allowed(int(size[i]), threshold)  # shared words, and so the length of the shorter one
+        other = np.arange(np.searchsorted(size, least), i)
+        other = other[(label[other] != label[i]) & (sides[other] != sides[i])] if across else other[label[other] != label[i]]
+        for counters in coarse, fine:
+            other = other[np.minimum(counters[other], counters[i]).sum(axis=1, dtype=np.int64) >= least]
+        for j in other:
+            if label[i] != label[j] and near(texts[j], texts[i], threshold):
+                found.append((int(min(ids[i], ids[j])), int(max(ids[i], ids[j]))))
+                label[label == label[j]] = label[i]
+    return found
+
+
+def within_groups(docs: DataFrame, groups: DataFrame, threshold: float) -> DataFrame:
+    """The near pairs (u, v) inside groups (g, id, comp, least, most) of ids with their component and lengths, up to what connects them already.
+
+    A group is cut into blocks by length. Two blocks meet in one task if their lengths allow near documents; each text goes
+    to as many tasks as its block has partners.
+    """
+    sorted_by_length = Window.partitionBy("g").orderBy("most", "id")
+    cut = F.floor((F.row_number().over(sorted_by_length) - 1) / BLOCK_MEMBERS) + F.floor(F.sum("most").over(sorted_by_length.rowsBetween(Window.unboundedPreceding, 0)) / BLOCK_WORDS)
+    groups = materialize(groups.withColumn("block", cut), "blocks")
+    blocks = groups.groupBy("g", "block").agg(F.min("least").alias("lo"), F.max("most").alias("hi"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
+    a, b = (blocks.select("g", *[F.col(c).alias(f"{c}_{x}") for c in ("block", "lo", "hi", "c0", "c1")]) for x in "ab")
+    shorter, longer = F.least("hi_a", "hi_b"), F.greatest("lo_a", "lo_b")
+    both = a.join(b, "g").where("block_a <= block_b and (c0_a <> c1_a or c0_b <> c1_b or c0_a <> c0_b)").where(longer - shorter <= F.floor(longer * (1 - threshold) + 1e-9))
+    tasks = both.select("g", F.col("block_a").alias("a"), F.col("block_b").alias("b"), F.explode(F.array_distinct(F.array("block_a", "block_b"))).alias("block"))
+    asked = groups.join(tasks, ["g", "block"]).select("id", "g", "a", "b", "block", "comp")
+    texts = texts_of(docs)
+    sent = texts.hint("merge").join(asked, texts["__tf_id"] == asked["id"]).select("g", "a", "b", "id", "comp", "block", "__tf_text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+
+        def pairs() -> list[tuple[int, int]]:
+            ids, comps, sides, texts = zip(*held)
+            return near_in_block(np.array(ids), np.array(comps), np.array(sides), list(texts), threshold)
+
+        for batch in batches:
+            gs, firsts, seconds, ids, comps, sides = (batch.column(i).to_pylist() for i in range(6))
+            for a, b, raw, offsets in text_chunks(batch.column(6)):
+                hashes, first = words(raw, offsets, NOT_ALNUM)
+                for i in range(a, b):
+                    if (gs[i], firsts[i], seconds[i]) != key:
+                        if held and (out := pairs()):
+                            yield id_pairs(out)
+                        key, held = (gs[i], firsts[i], seconds[i]), []
+                    if first[i - a] < first[i - a + 1]:
+                        held.append((ids[i], comps[i], sides[i], hashes[first[i - a] : first[i - a + 1]].copy()))
+        if held and (out := pairs()):
+            yield id_pairs(out)
+
+    return sent.repartition("g", "a", "b").sortWithinPartitions("g", "a", "b").mapInArrow(tidy(run), "u long, v long")
 
 
 # -- components ----------------------------------------------------------------------------------------------------
@@ -380,50 +458,28 @@ def lengths_allow(x: str, y: str, threshold: float) -> Column:
     return longer - F.least(x, y) <= F.floor(longer * (1 - threshold) + 1e-9)
 
 
-def bucket_edges(docs: DataFrame, rows: DataFrame, threshold: float, small: int) -> tuple[DataFrame, DataFrame | None]:
-    """The near pairs (u, v) of documents that share a key, up to what connects them already, and the next, smaller buckets where there are any.
+def bucket_edges(docs: DataFrame, rows: DataFrame, threshold: float, small: int) -> DataFrame:
+    """The near pairs (u, v) of documents that share a key, up to what connects them already.
 
     `rows` holds distinct (key, id, n). Each bucket is compared with its lowest member. What that leaves in different
-    components is compared pair by pair in a bucket of up to `small` members. In a larger one two documents can only be
-    near if they share some of the words that the lowest member lacks: of these words each keeps the rarest, as many as
-    the threshold lets be missing and one, and two near documents have one of those in common. So these words make the next
-    buckets. Documents that differ from the lowest member in the order of words alone escape that and are compared with
-    all others of their kind.
+    components is compared pair by pair in a bucket of up to `small` members; larger buckets of the same lowest member make
+    a group, which within_groups() compares block by block.
     """
     pivots = rows.groupBy("key").agg(F.min(F.struct("id", "n")).alias("p"), F.count("*").alias("c")).where("c > 1")
     members = materialize(rows.join(pivots, "key").select("key", "id", "n", F.col("p.id").alias("pivot"), F.col("p.n").alias("pn"), (F.col("c") > small).alias("hot")), "buckets")
-    star = members.where(F.col("id") != F.col("pivot")).where(F.col("hot") | lengths_allow("n", "pn", threshold))
-    star = materialize(star.groupBy(F.col("pivot").alias("u"), F.col("id").alias("v")).agg(F.max("hot").alias("hot"), F.max("n").alias("n")), "pairs")
-    seen = materialize(compared(docs, star, threshold), "compared")
-    edges = seen.where("ok").select("u", "v").distinct()
+    star = members.where(F.col("id") != F.col("pivot")).where(lengths_allow("n", "pn", threshold)).select(F.col("pivot").alias("u"), F.col("id").alias("v")).distinct()
+    edges = materialize(compared(docs, materialize(star, "pairs"), threshold).distinct(), "compared")
     roots = components(edges)
     comp = F.coalesce("root", "id").alias("comp")
-    labelled = members.join(roots, "id", "left").select("key", "id", "n", "pivot", "hot", comp)
-    mixed = labelled.where("not hot").groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    rest = labelled.where("id <> pivot").join(mixed, "key", "left_semi")
-    other = rest.select("key", F.col("id").alias("v"), F.col("n").alias("nv"), F.col("comp").alias("cv"))
-    close = rest.join(other, "key").where("id < v and comp <> cv").where(lengths_allow("n", "nv", threshold)).select(F.col("id").alias("u"), "v")
-    hot = seen.where("rest is not null").withColumn("row", F.xxhash64("rest"))  # rows that share an id differ here
-    hot = hot.join(star.select("u", "v", "n"), ["u", "v"]).join(roots, F.col("v") == F.col("id"), "left").select("u", "v", "row", "n", "ok", "slack", "rest", F.coalesce("root", "v").alias("comp"))
-    further = None
-    if not seen.where("rest is not null").isEmpty():
-        hot = materialize(hot, "hot")
-        mixed = hot.groupBy("u").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("u")
-        hot = hot.join(mixed, "u", "left_semi")
-        turned = hot.where(F.size("rest") <= F.col("slack"))  # no more words of their own than may be missing
-        free = turned.where("not ok").select("u", F.col("v").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"))
-        free = free.join(turned, "u").where("a <> v and ca <> comp").where(lengths_allow("na", "n", threshold)).select(F.least("a", "v").alias("u"), F.greatest("a", "v").alias("v"))
-        own = hot.select("u", "v", "row", "n", "slack", "comp", F.explode("rest").alias("word"))
-        rarity = own.groupBy("u", "word").agg(F.count("*").alias("df"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-        place = F.row_number().over(Window.partitionBy("u", "v", "row").orderBy("df", "word"))  # of one document's words
-        kept = own.join(rarity, ["u", "word"]).withColumn("place", place).where("place <= slack + 1 and lo <> hi")
-        further = materialize(kept.select(F.xxhash64("u", "word").alias("key"), F.col("v").alias("id"), "n").distinct(), "split")
-        close = close.unionByName(free)
-        further = None if further.isEmpty() else further
-    close = materialize(close.distinct().withColumn("hot", F.lit(False)), "open")
-    if not close.isEmpty():
-        edges = edges.unionByName(compared(docs, close, threshold).where("ok").select("u", "v"))
-    return edges, further
+    rest = members.where("id <> pivot").join(roots, "id", "left").select("key", "id", "n", "pivot", "hot", comp)
+    cold = rest.where("not hot")
+    mixed = cold.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+    cold = cold.join(mixed, "key", "left_semi")
+    other = cold.select("key", F.col("id").alias("v"), F.col("n").alias("nv"), F.col("comp").alias("cv"))
+    close = cold.join(other, "key").where("id < v and comp <> cv").where(lengths_allow("n", "nv", threshold)).select(F.col("id").alias("u"), "v")
+    close = materialize(close.distinct(), "open")
+    groups = rest.where("hot").groupBy(F.col("pivot").alias("g"), "id", "comp").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    return edges.unionByName(compared(docs, close, threshold)).unionByName(within_groups(docs, groups, threshold))
 
 
 def duplicates(docs: DataFrame, threshold: float = THRESHOLD, small: int = SMALL) -> DataFrame:
@@ -435,11 +491,7 @@ def duplicates(docs: DataFrame, threshold: float = THRESHOLD, small: int = SMALL
     copies = found.select("id", "f1", "f2").join(folded.select("f1", "f2", "rep"), ["f1", "f2"]).where("id <> rep").select(F.col("id").alias("v"), F.col("rep").alias("u"))
     # one exchange by key serves the distinct rows, the pivots and their join
     rows = folded.select(F.explode(F.array_distinct("keys")).alias("key"), F.col("rep").alias("id"), "n").repartition("key").distinct()
-    edges = copies.select("u", "v")
-    while rows is not None:
-        more, rows = bucket_edges(docs, rows, threshold, small)
-        edges = edges.unionByName(more)
-    roots = components(edges)
+    roots = components(copies.select("u", "v").unionByName(bucket_edges(docs, rows, threshold, small)))
     return roots.where("id <> root").select(F.col("id").alias("doc_id"), F.col("root").alias("duplicate_of"))
 
 

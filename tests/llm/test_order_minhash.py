@@ -163,3 +163,40 @@ def test_a_shared_head_makes_no_pairs(make):
 def test_names_with_dots_and_case(spark):
     docs = spark.createDataFrame([(1, "a b c", 1, 2), (2, "a b c", 3, 4)], "doc_id long, text string, `a.b` long, u long")
     assert [tuple(r) for r in om.drop_near_duplicates(docs).collect()] == [(1, "a b c", 1, 2)]
+
+
+def repetitive(rng, vocabulary):
+    """Documents of a few words, each many times over, so that many share keys and few are near."""
+    rows = []
+    for i in range(70):
+        own = [rng.choice(vocabulary) for _ in range(4)]
+        rows.append(["the"] * rng.randint(30, 90) + [w for w in own for _ in range(rng.randint(8, 20))])
+        if i % 7 == 0:
+            rows.append(edited(rng, rows[-1], 6, vocabulary))
+    return rows
+
+
+def test_large_buckets_take_one_round(make, vocabulary, monkeypatch):
+    """However the members of large buckets overlap, and over however many blocks they spread."""
+    rows = repetitive(random.Random(13), vocabulary)
+    near = [(i, j) for i in range(len(rows)) for j in range(i) if distance(rows[i], rows[j]) <= om.allowed(max(len(rows[i]), len(rows[j])), om.THRESHOLD)]
+    labels, written = [], om.materialize
+    monkeypatch.setattr(om, "materialize", lambda df, label: labels.append(label) or written(df, label))
+    monkeypatch.setattr(om, "BLOCK_MEMBERS", 9, raising=False)
+    docs = make([(i, " ".join(t)) for i, t in enumerate(rows)])
+    found = {r.doc_id: r.duplicate_of for r in om.duplicates(docs, small=8).collect()}
+    assert found == groups(near) and len(found) >= 10
+    assert labels.count("buckets") == 1
+
+
+def test_blocks_equal_brute_force(vocabulary):
+    rng = random.Random(14)
+    texts = repetitive(rng, vocabulary)
+    number = {w: i for i, w in enumerate(dict.fromkeys(w for t in texts for w in t), 1)}
+    rows = [om.mix(np.array([number[w] for w in t], np.uint64)) for t in texts]
+    ids, sides = np.arange(len(rows)) + 5, np.array([rng.randrange(2) for _ in rows])
+    near = [(i + 5, j + 5) for i in range(len(rows)) for j in range(i) if om.near(rows[i], rows[j], om.THRESHOLD)]
+    assert groups(om.near_in_block(ids, ids, np.zeros_like(sides), rows, om.THRESHOLD)) == groups(near)
+    across = [(a, b) for a, b in near if sides[a - 5] != sides[b - 5]]
+    assert across and groups(om.near_in_block(ids, ids, sides, rows, om.THRESHOLD)) == groups(across)
+    assert om.near_in_block(ids, np.zeros_like(ids), sides, rows, om.THRESHOLD) == []
