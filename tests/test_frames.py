@@ -60,6 +60,15 @@ def test_prefix_join_equals_band_join(spark, threshold):
     assert sorted(dedup.near_pairs(found, threshold).collect()) == sorted(dedup.near_pairs_band(found, threshold).collect())
 
 
+def test_occurrences_of_one_pair_are_spread(spark):
+    rows = [(f"a{i}", "alpha beta gamma") for i in range(3000)] + [(f"b{i}", "alpha beta gamma delta") for i in range(20)] + [("c", "Alpha  beta gamma!")]
+    found = dedup.sentences(spark.createDataFrame(rows, "p string, t string"), "p", "t")
+    near = dedup.near_duplicates(found).withColumn("task", F.spark_partition_id()).collect()
+    assert len({tuple(r.locations) for r in near}) == len(near) == 3001 * 20
+    assert {r.sentence for r in near} == {"alpha beta gamma ~ alpha beta gamma delta", "alpha beta gamma delta ~ Alpha  beta gamma!"}
+    assert len({r.task for r in near}) > 1
+
+
 def test_history_json(spark):
     calls = [{"content": "Show <it>.", "role": "user"}, {"role": "tool", "content": "FAIL\\nFAIL\\n\\nFAIL", "toolName": "sh"}, {"role": "t", "content": "1", "toolName": "r", "filePath": "f"}, {"role": "t", "content": "2", "toolName": "r", "filePath": "f"}, {"role": "t", "content": "\n".join(map(str, range(50))), "toolName": "r"}]
     rows = [("a", json.dumps(calls)), ("b", "[]"), ("c", "not json"), ("d", '{"role": "x"}'), ("e", None)]
