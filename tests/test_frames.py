@@ -2,6 +2,7 @@
 
 import json
 import os
+import random
 import time
 from datetime import datetime, timedelta
 
@@ -60,6 +61,32 @@ def test_prefix_join_equals_band_join(spark, threshold):
     assert sorted(dedup.near_pairs(found, threshold).collect()) == sorted(dedup.near_pairs_band(found, threshold).collect())
 
 
+def test_near_pairs_equal_brute_force(spark):
+    """Sets of up to 260 tokens, with edits around the threshold, copies and equal sets; heads of long sets must meet often."""
+    rng = random.Random(5)
+    lines = []
+    for size in (1, 2, 3, 5, 9, 17, 23, 24, 25, 47, 48, 70, 96, 130, 200, 260):
+        for _ in range(3):
+            base = [f"w{min(int(rng.expovariate(0.004)), 3000)}" for _ in range(size)]
+            lines.append(base)
+            for share in (0.05, 0.15, 0.22, 0.25, 0.27, 0.3, 0.45):
+                lines.append([f"v{rng.random()}" if rng.random() < share else w for w in base if rng.random() > share / 3])
+            lines += [base + base[: 1 + size // 3], base[: max(1, round(size * 0.6))], base[: max(1, int(size * 0.6) - 1)]]
+    found = dedup.sentences(spark.createDataFrame([(str(i), " ".join(x)) for i, x in enumerate(lines)], "p string, t string"), "p", "t").cache()
+    texts = sorted({r.normalized for r in found.collect()} - {""})
+    sets = [set(t.split()) for t in texts]
+    for threshold in (0.5, 0.6, 0.85):
+        expected = set()
+        for i, a in enumerate(sets):
+            for j in range(i + 1, len(sets)):
+                common = len(a & sets[j])
+                if common / (len(a) + len(sets[j]) - common) >= threshold:
+                    expected.add((texts[i], texts[j]))
+        assert len(expected) > 100
+        pairs = [(r.left, r.right) for r in dedup.near_pairs(found, threshold, neighbours=None).collect()]
+        assert set(pairs) == expected and len(pairs) == len(expected)
+
+
 def test_occurrences_of_one_pair_are_spread(spark):
     rows = [(f"a{i}", "alpha beta gamma") for i in range(3000)] + [(f"b{i}", "alpha beta gamma delta") for i in range(20)] + [("c", "Alpha  beta gamma!")]
     found = dedup.sentences(spark.createDataFrame(rows, "p string, t string"), "p", "t")
