@@ -87,6 +87,13 @@ def test_near_pairs_equal_brute_force(spark):
         assert set(pairs) == expected and len(pairs) == len(expected)
 
 
+def test_near_sentence_pairs_of_any_word_counts(spark, tmp_path):
+    rows = [(1, "one two three four five six"), (2, "one two three four"), (3, "one two three four five six six six six")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {(r.left, r.right): r.similarity for r in queries.near_sentence_pairs(spark, str(tmp_path)).collect()}
+    assert found == {(rows[1][1], rows[0][1]): 0.666667, (rows[0][1], rows[2][1]): 1.0, (rows[1][1], rows[2][1]): 0.666667}
+
+
 def test_occurrences_of_one_pair_are_spread(spark):
     rows = [(f"a{i}", "alpha beta gamma") for i in range(3000)] + [(f"b{i}", "alpha beta gamma delta") for i in range(20)] + [("c", "Alpha  beta gamma!")]
     found = dedup.sentences(spark.createDataFrame(rows, "p string, t string"), "p", "t")
