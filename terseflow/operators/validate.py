@@ -23,24 +23,49 @@ def drifts(before: int, after: int) -> bool:
     return before > 0 and abs(before - after) / before > DRIFT
 
 
+#: What may differ, in the order of reports; the number of errors among it.
+KINDS = ("heading mismatch", "code block mismatch", "url mismatch", "path mismatch", "bullet count drift")
+ERRORS = 3
+
+
+def differences(original: str, candidate: str) -> int:
+    """A bit for each of KINDS that holds. Texts without what starts a kind are not searched for it."""
+    if original == candidate:
+        return 0
+    (headings, fences), (new_headings, new_fences) = zones.structure(original), zones.structure(candidate)
+    found = (headings != new_headings) | (fences != new_fences) << 1
+    if "http" in original or "http" in candidate:
+        found |= (_URL.findall(original) != _URL.findall(candidate)) << 2
+    if "/" in original or "/" in candidate:
+        found |= (_PATH.findall(original) != _PATH.findall(candidate)) << 3
+    return found | drifts(len(_BULLET.findall(original)), len(_BULLET.findall(candidate))) << 4
+
+
+def named(found: int) -> tuple[list[str], list[str]]:
+    """(errors, warnings) of differences(), in fixed order."""
+    names = [(i, k) for i, k in enumerate(KINDS) if found >> i & 1]
+    return [k for i, k in names if i < ERRORS], [k for i, k in names if i >= ERRORS]
+
+
 def compare(original: str, candidate: str) -> tuple[list[str], list[str]]:
     """(errors, warnings), in fixed order."""
-    hard = (("heading mismatch", zones.headings), ("code block mismatch", zones.fences), ("url mismatch", _URL.findall))
-    errors = [name for name, of in hard if of(original) != of(candidate)]
-    warnings = ["path mismatch"] if _PATH.findall(original) != _PATH.findall(candidate) else []
-    if drifts(len(_BULLET.findall(original)), len(_BULLET.findall(candidate))):
-        warnings.append("bullet count drift")
-    return errors, warnings
+    return named(differences(original, candidate))
 
 
-@F.pandas_udf(REPORT)
-def _report(original: pd.Series, candidate: pd.Series) -> pd.DataFrame:
-    found = [compare(a or "", b or "") for a, b in zip(original, candidate)]
-    return pd.DataFrame({"valid": [not e for e, _ in found], "errors": [e for e, _ in found], "warnings": [w for _, w in found]})
+@F.pandas_udf(T.IntegerType())
+def _differences(original: pd.Series, candidate: pd.Series) -> pd.Series:
+    return pd.Series([differences(a or "", b or "") for a, b in zip(original, candidate)], dtype="int32")
 
 
 def report(original: Column, candidate: Column) -> Column:
-    return _report(original, candidate)
+    """A number comes back from Python, and the report is looked up by it."""
+
+    def texts(names: list[str]) -> Column:
+        return F.array(*map(F.lit, names)).cast("array<string>")
+
+    reports = [named(i) for i in range(1 << len(KINDS))]
+    table = F.array(*[F.struct(F.lit(not e).alias("valid"), texts(e).alias("errors"), texts(w).alias("warnings")) for e, w in reports])
+    return F.get(table, _differences(original, candidate)).cast(REPORT)
 
 
 def urls(text: Column) -> Column:

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from terseflow.functions import classify, metrics, registry
-from terseflow.operators import code, corpus, dedup, history, markdown, prose, runs, validate
+from terseflow.operators import code, corpus, dedup, history, markdown, prose, runs, validate, zones
 from terseflow.plans import queries
 from terseflow.sources import documents, observe
 from terseflow.streaming import tracker
@@ -31,6 +31,15 @@ def test_validate_pairs(spark):
     assert [(x.path, x.valid, x.errors) for x in r] == [("x", False, ["heading mismatch"])]
 
 
+def test_validation_reads_a_text_once(monkeypatch):
+    seen, scan = [], zones.special_regions
+    monkeypatch.setattr(zones, "special_regions", lambda text: seen.append(text) or scan(text))
+    a, b = "# Head\n~~~\nx /a/b\n~~~\n- i", "# Tail\n~~~\ny\n~~~\ni"
+    assert validate.compare(a, b) == (["heading mismatch", "code block mismatch"], ["path mismatch", "bullet count drift"])
+    assert seen == [a, b]
+    assert validate.compare(a, a) == validate.compare("plain", "plainer") == ([], []) and len(seen) == 2
+
+
 def test_markdown_ways_agree(spark):
     texts = ["a\n\n\n\n* x\n  + y\n| a |  b |\n```\n\n\n* z\n~~~\nend  ", "", None, "\n\n", "~~~"]
     docs = spark.createDataFrame(list(enumerate(texts)), "id long, content string")
